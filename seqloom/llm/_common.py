@@ -101,7 +101,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column (nulls empty) and n + 1 offsets."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
