@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
@@ -80,20 +80,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, _did, _key): coordinates of rows, and texts without nulls.
+def _with_key(base: DataFrame) -> DataFrame:
+    """Adds ``_did`` and ``_key`` to rows with _id and _text.
 
-    ``_did`` is doc_id, null as the smallest long.  ``_key`` is 0, except for
-    doc_ids of several rows, where it is a hash of the text: copies of a row
-    are then one place, while other texts under the same id stay apart.
+    ``_did`` is the id, null as the smallest long.  ``_key`` is 0, except for ids
+    of several rows, where it is a hash of the text: copies of a row are then one
+    place, while other texts under the same id stay apart.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("_did", F.coalesce("doc_id", F.lit(MIN_LONG)))
-    again = base.groupBy("_did").count().filter("count > 1").select(F.col("_did").alias("_again"))
-    again = stage(again, "repeated-ids")
-    return base.join(again, base._did == again._again, "left").select(
-        "doc_id", "text", "_did", F.when(F.col("_again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("_key")
-    )
+    base = base.withColumn("_did", F.coalesce(F.col("_id"), F.lit(MIN_LONG)))
+    again = stage(base.groupBy("_did").count().filter("count > 1").select(F.col("_did").alias("_again")), "repeated-ids")
+    key = F.when(F.col("_again").isNotNull(), F.xxhash64(F.coalesce("_text", F.lit("")))).otherwise(F.lit(0)).cast("long")
+    return base.join(again, base._did == again._again, "left").withColumn("_key", key).drop("_again")
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, _did, _key): coordinates of rows, and texts without nulls."""
+    base = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text"))
+    return _with_key(base).select(F.col("_id").alias("doc_id"), F.coalesce("_text", F.lit("")).alias("text"), "_did", "_key")
+
+
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_whole, _id, _text, _did, _key): whole rows under a name of their own, so
+    that no column of theirs can clash, with the same coordinates."""
+    return _with_key(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_whole"), docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text")))
+
+
+def with_text(rows: DataFrame, docs: DataFrame, text_col: str, text: Column) -> DataFrame:
+    """The columns of ``docs`` from ``_whole``, with a new text (and its n_chars)."""
+    new = rows.select("_whole", text.alias("_new"))
+    named = {text_col: F.col("_new")} | ({"n_chars": F.when(F.col("_new").eqNullSafe(F.col("_whole")[text_col]), F.col("_whole")["n_chars"]).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return new.select(*[named.get(c, F.col("_whole")[c]).alias(c) for c in docs.columns])
 
 
 # ---------------------------------------------------------------- Arrow

@@ -30,18 +30,23 @@ SYMBOLS = "#*$%&|<>"
 #: Pseudo-counts of the prior: bounds on alpha + beta.
 WEIGHT = (2.0, 10_000.0)
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once, whatever
+    the optimiser merges or pushes down."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 _WORDS = r"filter(split(_text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
-_WINDOWS = "CASE WHEN size(_words) < 3 THEN array() ELSE transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"
-#: Windows sorted by hash, those with an equal neighbour, their positions in
-#: order, and the words they cover: 3 each, less where the next one starts.
-_REPEATED = """
-CASE WHEN size(array_distinct(_windows)) = size(_windows) THEN 0L ELSE
-  transform(array(array_sort(transform(_windows, (h, i) -> struct(h, i)))), s ->
-    transform(array(array_sort(transform(
-        filter(transform(s, (x, k) -> struct(x.i AS i, (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h) AS again)), x -> x.again),
-        x -> x.i))), p ->
-      aggregate(transform(p, (x, k) -> CASE WHEN k + 1 < size(p) THEN least(3, p[k + 1] - x) ELSE 3 END), 0L, (a, x) -> a + x))[0])[0]
-END"""
+_WINDOWS = "CASE WHEN size(words) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(words) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) END"
+#: Windows sorted by hash; the positions of those with an equal neighbour, in
+#: order; the words they cover: 3 each, less where the next one starts.
+_SORTED = "array_sort(transform(windows, (h, i) -> struct(h, i)))"
+_AGAIN = "array_sort(transform(filter(transform(s, (x, k) -> struct(x.i AS i, (k > 0 AND s[k - 1].h = x.h) OR (k + 1 < size(s) AND s[k + 1].h = x.h) AS again)), x -> x.again), x -> x.i))"
+_COVERED = "aggregate(transform(p, (x, k) -> CASE WHEN k + 1 < size(p) THEN least(3, p[k + 1] - x) ELSE 3 END), 0L, (a, x) -> a + x)"
+#: Repeated words from ``words``.
+_REPEATED = _let("windows", _WINDOWS, f"CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0L ELSE {_let('s', _SORTED, _let('p', _AGAIN, _COVERED))} END")
+_COUNTS = _let("words", _WORDS, f"struct(size(words) AS n_words, {_REPEATED} AS n_repeat_words)")
+_PASSED = _let("words", _WORDS, f"size(words) >= 50 AND 100 * {_REPEATED} <= 50 * size(words)")
 
 
 def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -49,17 +54,16 @@ def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = (
-        base.withColumn("_words", F.expr(_WORDS))
-        .withColumn("_windows", F.expr(_WINDOWS))
+        base.withColumn("_counts", F.expr(_COUNTS))
         .withColumn("_lines", lines)
         .select(
             "doc_id",
             "host",
-            F.size("_words").cast("long").alias("n_words"),
+            F.col("_counts.n_words").cast("long").alias("n_words"),
             F.length(F.translate("_text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
             (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            F.expr(_REPEATED).cast("long").alias("n_repeat_words"),
+            F.col("_counts.n_repeat_words").cast("long").alias("n_repeat_words"),
             F.size("_lines").cast("long").alias("n_lines"),
         )
     )
@@ -104,8 +108,8 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _passing(docs: DataFrame, text_col: str) -> DataFrame:
     """The documents that pass the base rules; a struct keeps their columns apart."""
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    wide = row.withColumn("_text", F.coalesce(F.col("_row")[text_col].cast("string"), F.lit(""))).withColumn("_words", F.expr(_WORDS)).withColumn("_windows", F.expr(_WINDOWS))
-    return wide.filter(F.expr(f"size(_words) >= 50 AND 100 * ({_REPEATED}) <= 50 * size(_words)")).select("_row.*")
+    wide = row.withColumn("_text", F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")))
+    return wide.filter(F.expr(_PASSED)).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

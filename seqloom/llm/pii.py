@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _LOWER, arrow_map, chunks, keyed, python_batches, ship, stage, table, text_bytes, word_hashes, words
+from ._common import _LOWER, arrow_map, chunks, keyed, keyed_rows, stage, table, text_bytes, with_text, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 5
@@ -221,11 +221,8 @@ def redact(text: str, spans: list) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with what was found replaced in the texts."""
-    ship(docs.sparkSession)
-    python_batches(docs.sparkSession)
     spans = find(docs, id_col, text_col, **options).filter("size(found) > 0").groupBy("_did", "_key").agg(F.first("found").alias("found"))
-    one = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_whole"), docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    base = keyed_rows(one)
+    base = keyed_rows(docs, id_col, text_col)
 
     @F.pandas_udf("string")
     def replaced(texts, found):
@@ -233,17 +230,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     joined = base.join(spans, ["_did", "_key"], "left")
     new = F.when(F.col("found").isNull(), F.col("_text")).otherwise(replaced("_text", "found"))
-    return joined.select(*[new.alias(c) if c == text_col else F.col("_whole")[c].alias(c) for c in docs.columns])
-
-
-def keyed_rows(one: DataFrame) -> DataFrame:
-    """Rows (_whole, _id, _text) with the coordinates that ``keyed`` gives them."""
-    from ._common import MIN_LONG
-
-    base = one.withColumn("_did", F.coalesce(F.col("_id").cast("long"), F.lit(MIN_LONG)))
-    again = stage(base.groupBy("_did").count().filter("count > 1").select(F.col("_did").alias("_again")), "repeated-ids")
-    key = F.when(F.col("_again").isNotNull(), F.xxhash64(F.coalesce("_text", F.lit("")))).otherwise(F.lit(0)).cast("long")
-    return base.join(again, base._did == again._again, "left").withColumn("_key", key).drop("_again")
+    return with_text(joined, docs, text_col, new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

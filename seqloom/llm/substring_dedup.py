@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats
-from ._common import _FIRST, _SECOND, U64, arrow_map, chunks, column, keyed, mix, prefix_sums, span_hash, stage, table, text_bytes, word_hashes, words
+from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, span_hash, stage, table, text_bytes, with_text, word_hashes, words
 
 WINDOW = 20
 GRAM = 8
@@ -161,6 +161,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return arrow_map(joined, _apply(window), RESULT)
 
 
+def cut(text: str, starts: np.ndarray, counts: np.ndarray, window: int) -> str:
+    """The text without the words of the windows, and the space behind them."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    begins, ends, bounds = words(raw, np.array([0, len(raw)]))
+    inside = (starts >= 0) & (starts + counts - 1 + window <= len(begins))
+    gone = _repeats.covered(len(begins), starts[inside], counts[inside], window)
+    data, out, at = raw.tobytes(), [], 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).reshape(-1, 2)
+    for a, b in edge.tolist():
+        out.append(data[at : begins[a]])
+        at = int(begins[b]) if b < len(begins) else len(data)
+    return (b"".join(out) + data[at:]).decode()
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs``, all rows and columns, with what repeats cut out of the texts.
+
+    A text without repeats is unchanged; one that is cut keeps its other words and
+    their spacing, and may become empty.
+    """
+    rows = keyed_rows(docs, id_col, text_col)
+    spans = _repeats.spans_by_text(repeated_spans(keyed(docs, id_col, text_col), window, gram))
+
+    @F.pandas_udf("string")
+    def without(texts, found):
+        return texts.combine(found, lambda t, x: t if x is None or t is None else cut(t, *(np.array([s[k] for s in x], np.int64) for k in ("start", "n")), window))
+
+    new = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(without("_text", "spans"))
+    return with_text(rows.join(spans, ["_did", "_key"], "left"), docs, text_col, new)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
