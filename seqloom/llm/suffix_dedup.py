@@ -13,9 +13,9 @@ covers it also starts elsewhere.
   prefixes is the longest previous factor (LPF).  A start with LPF >= length is a
   later copy.  The mirror array (longest next factor, from the previous and next
   larger positions) finds earlier copies of what comes later.
-* An anchor with more than ``HOT`` contents is not gathered: the hashes of its
-  windows (two of 64 bits) are counted by Spark, with partial sums before the
-  shuffle.
+* An anchor with more than ``HOT`` contents is not gathered: its windows meet by
+  their hashes (two of 64 bits) in compressed blocks, one row for each window and
+  task, after copies within a task are settled.
 
 ``keep="first"`` removes later copies only; ``keep="none"`` removes all copies.
 
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ LENGTH = 400
 GRAM = 64
 #: Fragments of one anchor up to which a suffix array is built at once.
 HOT = 2000
+#: Windows of hot anchors that a task settles at once, and of a bucket.
+WINDOWS = 500_000
 #: Bytes of text from which a suffix array is built and given out.
 BLOCK = 1 << 20
 
@@ -209,10 +212,61 @@ def _suffixes(length: int, both: bool):
     return run
 
 
-def _windows(length: int):
-    """Windows of hot segments by two hashes, one row for each."""
+BLOCKS = "bucket long, block binary, _did long, _key long, start int, n int"
+_PLACE = np.dtype([("first", "<u8"), ("second", "<u8"), ("did", "<i8"), ("key", "<i8"), ("start", "<i4"), ("copied", "u1")])
+
+
+def _same(rows: np.ndarray) -> np.ndarray:
+    """Of sorted windows: whether each equals the one before it."""
+    out = np.zeros(len(rows), bool)
+    out[1:] = (rows["first"][1:] == rows["first"][:-1]) & (rows["second"][1:] == rows["second"][:-1])
+    return out
+
+
+def _settle(rows: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted windows -> the first place of each (``copied`` if there are others),
+    and the places that go."""
+    rows = rows[np.lexsort((rows["start"], rows["key"], rows["did"], rows["second"], rows["first"]))]
+    same = _same(rows)
+    again = same.copy()  # the very place of the row before
+    again[1:] &= (rows["did"][1:] == rows["did"][:-1]) & (rows["key"][1:] == rows["key"][:-1]) & (rows["start"][1:] == rows["start"][:-1])
+    group = np.cumsum(~same) - 1
+    copied = (np.bincount(group, ~again) > 1) | (np.bincount(group, rows["copied"]) > 0)
+    first = rows[~same]
+    first["copied"] = copied
+    gone = rows[(same & ~again) | (both & copied[group])]
+    return first, gone
+
+
+def _as_spans(gone: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Single starts as runs: did, key, start, n."""
+    gone = np.unique(gone[["did", "key", "start"]])
+    new = np.ones(len(gone), bool)
+    new[1:] = (gone["did"][1:] != gone["did"][:-1]) | (gone["key"][1:] != gone["key"][:-1]) | (gone["start"][1:] != gone["start"][:-1] + 1)
+    at = np.flatnonzero(new)
+    return gone["did"][at], gone["key"][at], gone["start"][at], np.diff(np.append(at, len(gone)))
+
+
+def _window_blocks(length: int, both: bool, buckets: int):
+    """Windows of hot segments, some at a time: what is settled among them as
+    spans, and their first places as one block for each bucket of hashes."""
+
+    def give(held: list[np.ndarray]) -> pa.RecordBatch:
+        first, gone = _settle(np.concatenate(held), both)
+        did, key, start, n = _as_spans(gone)
+        bounds = np.searchsorted((first["first"] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24), np.arange(buckets + 1))
+        full = np.flatnonzero(bounds[1:] > bounds[:-1])
+        blocks = [zstandard.ZstdCompressor(level=1).compress(first[bounds[k] : bounds[k + 1]].tobytes()) for k in full]
+        none = len(full)
+        columns = [
+            pa.array([*full.tolist(), *(mix(start.astype(np.uint64)) % np.uint64(buckets)).tolist()], pa.int64()),
+            pa.array(blocks + [None] * len(did), pa.binary()),
+            *(pa.array([0] * none + v.tolist(), type=t) for v, t in zip((did, key, start, n), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "_did", "_key", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
@@ -221,29 +275,54 @@ def _windows(length: int):
                 seg = np.repeat(np.arange(len(n)), n)
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = offsets[seg] + inner
-                first, p = byte_sums(raw)
-                second, q = byte_sums(raw, True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(mix(span_hash(first, at, at + length, p)).view(np.int64)),
-                        pa.array(mix(span_hash(second, at, at + length, q)).view(np.int64)),
-                        pa.array(column(part, "_did")[seg]),
-                        pa.array(column(part, "_key")[seg]),
-                        pa.array((column(part, "start")[seg] + inner).astype(np.int32)),
-                    ],
-                    names=["first", "second", "_did", "_key", "start"],
-                )
+                rows = np.zeros(len(seg), _PLACE)
+                for name, second in (("first", False), ("second", True)):
+                    sums, powers = byte_sums(raw, second)
+                    rows[name] = mix(span_hash(sums, at, at + length, powers))
+                rows["did"], rows["key"], rows["start"] = column(part, "_did")[seg], column(part, "_key")[seg], column(part, "start")[seg] + inner
+                held.append(rows)
+                size += len(rows)
+                if size >= WINDOWS:
+                    yield give(held)
+                    held, size = [], 0
+        if held:
+            yield give(held)
+
+    return run
+
+
+def _window_spans(both: bool):
+    """Blocks sorted by bucket -> spans; a bucket holds one row for each window
+    and task, however many copies there are."""
+
+    def give(held: list[np.ndarray]) -> pa.RecordBatch:
+        _, gone = _settle(np.concatenate(held), both)
+        return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, (_, t) in zip(_as_spans(gone), _SPANS)], names=[k for k, _ in _SPANS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            settled = batch.filter(batch.column(1).is_null())
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays(settled.columns[2:], names=[k for k, _ in _SPANS])
+            blocks = batch.filter(batch.column(1).is_valid())
+            for bucket, block in zip(blocks.column(0).to_pylist(), blocks.column(1)):
+                if bucket != current and held:
+                    yield give(held)
+                    held = []
+                current = bucket
+                held.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(block.as_py()), _PLACE))
+        if held:
+            yield give(held)
 
     return run
 
 
 def _hot_spans(hot: DataFrame, length: int, both: bool) -> DataFrame:
-    place = F.struct("_did", "_key", "start")
-    windows = arrow_map(hot, _windows(length), "first long, second long, _did long, _key long, start int")
-    seen = windows.groupBy("first", "second").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least <> most")
-    spans = windows.join(seen, ["first", "second"])
-    spans = spans if both else spans.filter(place != F.col("least"))
-    return spans.select("_did", "_key", "start", F.lit(1).alias("n"))
+    total = hot.agg(F.sum(F.col("n").cast("long")).alias("n")).first()["n"] or 0
+    buckets = max(1, -(-total // WINDOWS))
+    blocks = arrow_map(hot, _window_blocks(length, both, buckets), BLOCKS)
+    return arrow_map(blocks.repartition("bucket").sortWithinPartitions("bucket"), _window_spans(both), SPANS)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", hot: int = HOT) -> DataFrame:
