@@ -43,7 +43,7 @@ from ._common import _LOWER, U64, arrow_map, chunks, column, mix, new_path, stag
 from ._store import map_array, write_array
 
 #: Tokens that a task sums at once; distinct words of a shard; tokens of a bucket.
-SUMMED, SHARD, BUCKET = 4_000_000, 1_000_000, 2_000_000
+SUMMED, SHARD, BUCKET = 4_000_000, 250_000, 2_000_000
 #: The hash of the end of a text, which no word is given.
 END = U64(1)
 CONTEXT = ("one", "two", "three", "four", "more", "before")
@@ -341,7 +341,7 @@ def train(texts: DataFrame) -> Layout:
     shards = max(1, -(-counted.count() // SHARD))
     # the shard of an unsigned hash, as shard_of has it
     counted = counted.withColumn("shard", F.floor(F.shiftrightunsigned("hash", 40) * F.lit(shards) / F.lit(1 << 24)).cast("long"))
-    sizes = arrow_map(counted.repartition("shard").select("shard", "hash", "n"), _write_words(folder, shards), "shard long, words long, tokens long").collect()  # a row for each shard
+    sizes = arrow_map(counted.repartition(shards, "shard").select("shard", "hash", "n"), _write_words(folder, shards), "shard long, words long, tokens long").collect()  # a row for each shard
     by_shard = {r.shard: r for r in sizes}
     offsets = [0]
     for s in range(shards):
@@ -355,11 +355,11 @@ def train(texts: DataFrame) -> Layout:
         return layout
     ids, counts = arrays(layout).ids(np.array([END]))
     layout.end, layout.hot_end = int(ids[0]), int(counts[0])
-    blocks = arrow_map(texts, _sum_bigrams(layout), "bucket long, block binary").repartition("bucket").sortWithinPartitions("bucket")
+    blocks = arrow_map(texts, _sum_bigrams(layout), "bucket long, block binary").repartition(layout.buckets, "bucket").sortWithinPartitions("bucket")
     sums = arrow_map(blocks, _write_bigrams(layout), _SUMS).groupBy("id").agg(*(F.sum(k).alias(k) for k in CONTEXT))
     bounds = F.array(*map(F.lit, offsets[1:]))
     shard = F.size(F.filter(bounds, lambda x: x <= F.col("id"))).cast("long")
-    rows = arrow_map(sums.withColumn("shard", shard).repartition("shard").select("shard", "id", *CONTEXT), _write_contexts(layout), ", ".join(f"c{k} long" for k in range(10))).collect()  # a row for each shard
+    rows = arrow_map(sums.withColumn("shard", shard).repartition(shards, "shard").select("shard", "id", *CONTEXT), _write_contexts(layout), ", ".join(f"c{k} long" for k in range(10))).collect()  # a row for each shard
     c = np.array([list(r) for r in rows], np.int64).sum(0)
     for k in range(layout.buckets):
         _touch(layout, k)
