@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..plans.shipping import ship
 
@@ -100,16 +101,31 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_whole, _id, _text, _did, _key): whole rows under a name of their own, so
+    """(_whole, _id, _text, _did, _key): rows without their text as a struct, so
     that no column of theirs can clash, with the same coordinates."""
-    return _with_key(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_whole"), docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text")))
+    rest = F.struct(*[docs[c] for c in docs.columns if c != text_col])
+    return _with_key(docs.select(rest.alias("_whole"), docs[id_col].cast("long").alias("_id"), docs[text_col].cast("string").alias("_text")))
 
 
-def with_text(rows: DataFrame, docs: DataFrame, text_col: str, text: Column) -> DataFrame:
-    """The columns of ``docs`` from ``_whole``, with a new text (and its n_chars)."""
-    new = rows.select("_whole", text.alias("_new"))
-    named = {text_col: F.col("_new")} | ({"n_chars": F.when(F.col("_new").eqNullSafe(F.col("_whole")[text_col]), F.col("_whole")["n_chars"]).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return new.select(*[named.get(c, F.col("_whole")[c]).alias(c) for c in docs.columns])
+def rewrite(rows: DataFrame, docs: DataFrame, text_col: str, spans: str, change: Callable[[str, pa.Array], str]) -> DataFrame:
+    """The columns of ``docs`` from ``keyed_rows``; texts with ``spans`` are given
+    to ``change`` with them (and n_chars, if there is one, follows)."""
+    names = [c for c in docs.columns if c != text_col]
+    flat = rows.select(*[F.col("_whole")[c].alias(f"c{i}") for i, c in enumerate(names)], F.col("_text").alias("text"), F.col(spans).alias("spans"))
+    schema = StructType([*flat.schema.fields[:-1], StructField("changed", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                texts, found = part.column(len(names)), part.column(len(names) + 1)
+                out = [t if t is None or not s.is_valid else change(t, s.values) for t, s in zip(texts.to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(out, texts.type), pc.is_valid(found)], names=[*part.schema.names[:-1], "changed"])
+
+    changed = arrow_map(flat, run, schema)
+    named = {c: F.col(f"c{i}") for i, c in enumerate(names)} | {text_col: F.col("text")}
+    if "n_chars" in names:
+        named["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(named["n_chars"])
+    return changed.select(*[named[c].alias(c) for c in docs.columns])
 
 
 # ---------------------------------------------------------------- Arrow
@@ -143,7 +159,7 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     python_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)

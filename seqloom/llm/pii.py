@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _LOWER, arrow_map, chunks, keyed, keyed_rows, stage, table, text_bytes, with_text, word_hashes, words
+from ._common import _LOWER, arrow_map, chunks, keyed, keyed_rows, rewrite, stage, table, text_bytes, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 5
@@ -224,13 +224,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     spans = find(docs, id_col, text_col, **options).filter("size(found) > 0").groupBy("_did", "_key").agg(F.first("found").alias("found"))
     base = keyed_rows(docs, id_col, text_col)
 
-    @F.pandas_udf("string")
-    def replaced(texts, found):
-        return texts.combine(found, lambda t, x: t if x is None or t is None else redact(t, [(s["start"], s["kind"], s["stop"], s["removed"]) for s in x]))
+    def replaced(text: str, found: pa.Array) -> str:
+        return redact(text, [(s["start"], s["kind"], s["stop"], s["removed"]) for s in found.to_pylist()])
 
-    joined = base.join(spans, ["_did", "_key"], "left")
-    new = F.when(F.col("found").isNull(), F.col("_text")).otherwise(replaced("_text", "found"))
-    return with_text(joined, docs, text_col, new)
+    return rewrite(base.join(spans, ["_did", "_key"], "left"), docs, text_col, "found", replaced)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats
-from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, span_hash, stage, table, text_bytes, with_text, word_hashes, words
+from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, rewrite, span_hash, stage, table, text_bytes, word_hashes, words
 
 WINDOW = 20
 GRAM = 8
@@ -184,12 +184,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed_rows(docs, id_col, text_col)
     spans = _repeats.spans_by_text(repeated_spans(keyed(docs, id_col, text_col), window, gram))
 
-    @F.pandas_udf("string")
-    def without(texts, found):
-        return texts.combine(found, lambda t, x: t if x is None or t is None else cut(t, *(np.array([s[k] for s in x], np.int64) for k in ("start", "n")), window))
+    def without(text: str, found: pa.Array) -> str:
+        return cut(text, found.field(0).to_numpy(), found.field(1).to_numpy(), window)
 
-    new = F.when(F.col("spans").isNull(), F.col("_text")).otherwise(without("_text", "spans"))
-    return with_text(rows.join(spans, ["_did", "_key"], "left"), docs, text_col, new)
+    return rewrite(rows.join(spans, ["_did", "_key"], "left"), docs, text_col, "spans", without)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
