@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from ._common import stage, table
 
-THRESHOLD = 0.5
+#: Only a host almost all of whose documents fail takes its clean ones along.
+THRESHOLD = 0.8
 SYMBOLS = "#*$%&|<>"
 #: Pseudo-counts of the prior: bounds on alpha + beta.
 WEIGHT = (2.0, 10_000.0)
@@ -132,6 +133,6 @@ f AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_wo
 h AS (SELECT host, count(*) AS n, sum(failed::INT) AS bad FROM f GROUP BY host),
 m AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h),
 p AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 2), 10000) ELSE 10000 END AS weight FROM m),
-v AS (SELECT host, (bad + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, p)
+v AS (SELECT host, (bad + mean * weight) / (n + weight) > 0.8 AS rejected FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM f JOIN v ON f.host = v.host
 """
