@@ -27,7 +27,7 @@ MIN_LONG = -(2**63)
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows handed to Python at once; long texts then stay within bounded batches.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 _local_dir: str | None = None
 
@@ -142,7 +142,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most ``most`` bytes of text, or of one row."""
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -162,7 +162,13 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     python_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # freed memory goes back to the system: workers live on between stages
+        pa.set_memory_pool(pa.system_memory_pool())
+        return fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------- hashing

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import _FIRST, _SECOND, U64, arrow_map, column, mix, prefix_sums, sliding_min, span_hash, stage
 
-FLUSH = 400_000
+FLUSH = 150_000
 SLICE = 1 << 22
 _LOW = U64((1 << 24) - 1)
 

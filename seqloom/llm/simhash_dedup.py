@@ -42,8 +42,30 @@ from ._repeats import gram_hashes
 BLOCKS = 5
 CROWD = 64
 #: Similarity of whole documents: words of a shingle, least Jaccard similarity,
-#: 64-bit words of a fingerprint, bits of a block, blocks of a group.
-SIZE, SIMILARITY, WIDTH, BITS, GROUP = 5, 0.8, 16, 10, 6
+#: least 64-bit words of a fingerprint, blocks of a group, and the fingerprints of a
+#: key up to which all pairs are compared.
+SIZE, SIMILARITY, WIDTH, GROUP, FEW = 5, 0.8, 16, 6, 8
+#: The least chance that a pair at that similarity shares a key.
+RECALL = 0.96
+
+
+def _share(similarity: float) -> float:
+    """The share of bits in which texts of a Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def key_plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL, group: int = GROUP) -> tuple[int, int, int]:
+    """Bits of a block, groups, 64-bit words for n documents.
+
+    Keys of two blocks have at least 16 times as many values as there are
+    documents, so chance meetings grow as the documents do, not as their square;
+    as many groups as ``recall`` needs.
+    """
+    bits = math.ceil(math.log2(max(n, 256)) / 2) + 2
+    p = (1 - _share(similarity)) ** bits
+    fewer = (1 - p) ** group + group * p * (1 - p) ** (group - 1)
+    groups = math.ceil(math.log(1 - recall) / math.log(fewer))
+    return bits, groups, max(WIDTH, math.ceil(bits * groups * group / 64))
 
 
 def _shape(raw: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,12 +181,11 @@ def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int = SIZE, wi
     return out
 
 
-def block_keys(prints: np.ndarray, bits: int = BITS, group: int = GROUP) -> np.ndarray:
-    """The keys of each fingerprint: its first half is cut into blocks of ``bits``
-    bits, these into groups, and each two blocks of a group are a key."""
-    flat = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : 32 * prints.shape[1]].astype(np.int64)
-    groups = flat.shape[1] // (bits * group)
-    values = flat[:, : groups * group * bits].reshape(len(prints), groups, group, bits) @ (1 << np.arange(bits))
+def block_keys(prints: np.ndarray, bits: int, groups: int, group: int = GROUP) -> np.ndarray:
+    """The keys of each fingerprint: blocks of ``bits`` bits, ``group`` of them a
+    group, and each two blocks of a group a key."""
+    flat = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")[:, : groups * group * bits].astype(np.int64)
+    values = flat.reshape(len(prints), groups, group, bits) @ (1 << np.arange(bits))
     pairs = np.array(list(combinations(range(group), 2)))
     keys = (values[:, :, pairs[:, 0]] << bits) | values[:, :, pairs[:, 1]]
     return (keys + (np.arange(groups * len(pairs)).reshape(groups, -1) << (2 * bits))).reshape(len(prints), -1)
@@ -181,11 +202,11 @@ def _wide(size: int, width: int):
     return run
 
 
-def _key_rows(width: int, bits: int, group: int):
+def _key_rows(bits: int, groups: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = block_keys(batch.column(1).flatten().to_numpy().view(U64).reshape(-1, width), bits, group)
+                keys = block_keys(batch.column(1).flatten().to_numpy().view(U64).reshape(-1, width), bits, groups)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["fp", "keys"])
 
@@ -196,31 +217,33 @@ def _apart(u: str, v: str) -> Column:
     return F.bit_count(F.col(u).bitwiseXOR(F.col(v)))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY, width: int = WIDTH, bits: int = BITS, group: int = GROUP, crowd: int = CROWD) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY, crowd: int = FEW) -> DataFrame:
     """doc_id, component_id of documents alike by shingles of ``size`` words.
 
     Two documents of Jaccard similarity J differ, on average, in a share of
     acos(2 J / (1 + J)) / pi of their fingerprints' bits.  Pairs three standard
     deviations below that share for ``similarity`` are linked, those as far above it
-    are not, and those between are decided by their sets of shingles.  Candidates share two blocks of a group; at similarity
-    0.8 the chance of that is 0.96 with the defaults, at 0.9 over 0.999.  ``bits``
-    should grow with half the logarithm of the number of documents, and ``width``
-    with it.
+    are not, and those between are decided by their sets of shingles.  Candidates share
+    two blocks of a group: at ``similarity`` with the chance RECALL, at 0.9 with one
+    of over 0.999 (see ``key_plan``).
 
     In a key with more than ``crowd`` fingerprints each is compared with the least
     of them, not with all: members alike to it are one component anyway.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("sum"))
+    bits, groups, width = key_plan(docs.count(), similarity)
     found = stage(arrow_map(base, _wide(size, width), "doc_id long, sum long, fp long, wide array<long>"), "fingerprints")
     firsts = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "sum", "wide")).alias("one")).select("fp", "least", "one.*"), "prints")
-    keyed = arrow_map(firsts.select("fp", "wide"), _key_rows(width, bits, group), "fp long, keys array<long>").select("fp", F.explode("keys").alias("key"))
-    crowded = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).filter(F.col("n") > crowd).select("key", "leader"), "crowded-keys")
-    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    keyed = arrow_map(firsts.select("fp", "wide"), _key_rows(bits, groups, width), "fp long, keys array<long>").select("fp", F.explode("keys").alias("key"))
+    meetings = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).filter("n > 1"), "meetings")
+    # most keys meet no other: the rest are few, and are hashed, not sorted
+    met = stage(keyed.join(meetings.hint("shuffle_hash"), "key"), "met")
+    most = _share(similarity)
     # one word's distance, four deviations above its mean, spares most comparisons
     rough = math.ceil(64 * most + 4 * math.sqrt(64 * most * (1 - most)))
-    sparse = keyed.join(crowded, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
+    sparse = met.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     near = sparse.select(F.explode("fps").alias("u"), "fps").select("u", F.explode(F.filter("fps", lambda v: (v < F.col("u")) & (F.bit_count(v.bitwiseXOR(F.col("u"))) <= rough))).alias("v"))
-    stars = keyed.join(crowded, "key").select(F.col("fp").alias("u"), F.col("leader").alias("v")).filter((F.col("u") != F.col("v")) & (_apart("u", "v") <= rough))
+    stars = met.filter(F.col("n") > crowd).select(F.col("fp").alias("u"), F.col("leader").alias("v")).distinct().filter((F.col("u") != F.col("v")) & (_apart("u", "v") <= rough))
     pairs = stage(near.unionByName(stars).distinct(), "candidates")
     left, right = (firsts.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}")) for n in "uv")
     distance = F.aggregate(F.zip_with("wide_u", "wide_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
