@@ -47,6 +47,8 @@ CROWD = 64
 SIZE, SIMILARITY, WIDTH, GROUP, FEW = 5, 0.8, 16, 6, 8
 #: The least chance that a pair at that similarity shares a key.
 RECALL = 0.96
+#: One in so many groups of keys is met before all others.
+AHEAD = 4
 
 
 def _share(similarity: float) -> float:
@@ -202,13 +204,17 @@ def _wide(size: int, width: int):
     return run
 
 
-def _key_rows(bits: int, groups: int, width: int):
+def _key_rows(bits: int, groups: int, width: int, begin: int, end: int):
+    """The keys of the groups from ``begin`` to before ``end``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = block_keys(batch.column(1).flatten().to_numpy().view(U64).reshape(-1, width), bits, groups)
+                keys = block_keys(batch.column(2).flatten().to_numpy().view(U64).reshape(-1, width), bits, groups)
+                each = keys.shape[1] // groups
+                keys = keys[:, begin * each : end * each]
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), rows], names=["fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["fp", "root", "keys"])
 
     return run
 
@@ -229,28 +235,56 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     In a key with more than ``crowd`` fingerprints each is compared with the least
     of them, not with all: members alike to it are one component anyway.
+
+    A few groups of keys are met first.  Of the others, a key whose fingerprints
+    are one component by then can link nothing new and is left out, as is a pair
+    within one component: most of the work on a large group of near copies.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("sum"))
     bits, groups, width = key_plan(docs.count(), similarity)
     found = stage(arrow_map(base, _wide(size, width), "doc_id long, sum long, fp long, wide array<long>"), "fingerprints")
     firsts = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "sum", "wide")).alias("one")).select("fp", "least", "one.*"), "prints")
-    keyed = arrow_map(firsts.select("fp", "wide"), _key_rows(bits, groups, width), "fp long, keys array<long>").select("fp", F.explode("keys").alias("key"))
-    meetings = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).filter("n > 1"), "meetings")
+    ahead = -(-groups // AHEAD)
+
+    def linked(nodes: DataFrame, begin: int, end: int) -> DataFrame:
+        keyed = arrow_map(nodes, _key_rows(bits, groups, width, begin, end), "fp long, root long, keys array<long>").select("fp", "root", F.explode("keys").alias("key"))
+        pairs = _candidates(keyed, similarity, crowd)
+        sure, close = _judged(pairs, firsts, width, similarity)
+        return sure.unionByName(_alike(close, firsts, base, size, similarity))
+
+    early = stage(components(linked(firsts.select("fp", F.col("fp").alias("root"), "wide"), 0, ahead)), "early")
+    rooted = firsts.join(early, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "wide")
+    links = early.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if ahead < groups:
+        links = links.unionByName(linked(rooted, ahead, groups))
+    return _named(found.select("doc_id", "fp"), firsts.select("fp", "least"), links).select("doc_id", "component_id")
+
+
+def _candidates(keyed: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """(fp, root, key) -> distinct pairs (u, v) of different roots that share a key."""
+    meetings = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "root")).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
+    meetings = stage(meetings.filter("low < high").select("key", "n", "leader"), "meetings")
     # most keys meet no other: the rest are few, and are hashed, not sorted
     met = stage(keyed.join(meetings.hint("shuffle_hash"), "key"), "met")
     most = _share(similarity)
     # one word's distance, four deviations above its mean, spares most comparisons
     rough = math.ceil(64 * most + 4 * math.sqrt(64 * most * (1 - most)))
-    sparse = met.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    near = sparse.select(F.explode("fps").alias("u"), "fps").select("u", F.explode(F.filter("fps", lambda v: (v < F.col("u")) & (F.bit_count(v.bitwiseXOR(F.col("u"))) <= rough))).alias("v"))
-    stars = met.filter(F.col("n") > crowd).select(F.col("fp").alias("u"), F.col("leader").alias("v")).distinct().filter((F.col("u") != F.col("v")) & (_apart("u", "v") <= rough))
-    pairs = stage(near.unionByName(stars).distinct(), "candidates")
+    sparse = met.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "root")).alias("all"))
+    each = sparse.select(F.explode("all").alias("one"), "all").select(F.col("one.fp").alias("u"), F.col("one.root").alias("root"), "all")
+    near = each.select("u", F.explode(F.filter("all", lambda o: (o["fp"] < F.col("u")) & (o["root"] != F.col("root")) & (F.bit_count(o["fp"].bitwiseXOR(F.col("u"))) <= rough))).alias("o")).select("u", F.col("o.fp").alias("v"))
+    stars = met.filter((F.col("n") > crowd) & (F.col("root") != F.col("leader.root"))).select(F.col("fp").alias("u"), F.col("leader.fp").alias("v")).filter(_apart("u", "v") <= rough)
+    return stage(near.unionByName(stars).distinct(), "candidates")
+
+
+def _judged(pairs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs surely alike by their whole fingerprints, and those to be checked."""
+    most = _share(similarity)
     left, right = (firsts.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}")) for n in "uv")
     distance = F.aggregate(F.zip_with("wide_u", "wide_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     mean, spread = 64 * width * most, 3 * math.sqrt(64 * width * most * (1 - most))
     scored = stage(pairs.join(left, "u").join(right, "v").select("u", "v", distance.alias("distance")).filter(F.col("distance") <= int(mean + spread)), "scored")
-    sure, close = scored.filter(F.col("distance") <= int(mean - spread)), scored.filter(F.col("distance") > int(mean - spread)).select("u", "v")
-    return _named(found.select("doc_id", "fp"), firsts.select("fp", "least"), sure.select("u", "v").unionByName(_alike(close, firsts, base, size, similarity))).select("doc_id", "component_id")
+    sure = F.col("distance") <= int(mean - spread)
+    return scored.filter(sure).select("u", "v"), scored.filter(~sure).select("u", "v")
 
 
 def _alike(pairs: DataFrame, firsts: DataFrame, base: DataFrame, size: int, similarity: float) -> DataFrame:

@@ -212,6 +212,30 @@ def test_simhash_odd(spark, odd):
     assert kept.columns == odd.columns and {1, 3, 6} <= {r.doc_id for r in kept.collect()}
 
 
+def test_similar_groups(spark, monkeypatch):
+    """Groups of near copies of 2 to 60, against all pairs' exact similarity."""
+    r = random.Random(11)
+    words = ["w%d" % i for i in range(3000)]
+    data = []
+    for size in (60, 20, 9, 3, 2, 2, *[1] * 30):
+        base = [r.choice(words) for _ in range(400)]
+        for _ in range(size):
+            text = list(base)
+            for at in r.sample(range(400), 3):  # 15 of 396 shingles each
+                text[at] = r.choice(words)
+            data.append((len(data), " ".join(text)))
+    links = [(a, b) for a, x in data for b, y in data[:a] if simhash_dedup.jaccard(x, y, 5) >= 0.8]
+    want = {i: i for i, _ in data}
+    for _ in data:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert len(set(want.values())) == 36
+    for ahead in (1, 4):
+        monkeypatch.setattr(simhash_dedup, "AHEAD", ahead)
+        assert dict(collected(simhash_dedup.similar_groups(df), "doc_id", "component_id")) == want
+
+
 # ---------------------------------------------------------------------- URLs
 
 
