@@ -49,6 +49,8 @@ SIZE, SIMILARITY, WIDTH, GROUP, FEW = 5, 0.8, 16, 6, 8
 RECALL = 0.96
 #: One in so many groups of keys is met before all others.
 AHEAD = 4
+#: The 64-bit words of a fingerprint that travel with its keys.
+CARRIED = 4
 
 
 def _share(similarity: float) -> float:
@@ -210,11 +212,13 @@ def _key_rows(bits: int, groups: int, width: int, begin: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = block_keys(batch.column(2).flatten().to_numpy().view(U64).reshape(-1, width), bits, groups)
+                prints = batch.column(2).flatten().to_numpy().view(U64).reshape(-1, width)
+                keys = block_keys(prints, bits, groups)
                 each = keys.shape[1] // groups
                 keys = keys[:, begin * each : end * each]
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["fp", "root", "keys"])
+                first = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(prints[:, 1:CARRIED]).view(np.int64).ravel()), CARRIED - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first.cast(pa.list_(pa.int64())), rows], names=["fp", "root", "more", "keys"])
 
     return run
 
@@ -247,7 +251,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ahead = -(-groups // AHEAD)
 
     def linked(nodes: DataFrame, begin: int, end: int) -> DataFrame:
-        keyed = arrow_map(nodes, _key_rows(bits, groups, width, begin, end), "fp long, root long, keys array<long>").select("fp", "root", F.explode("keys").alias("key"))
+        keyed = arrow_map(nodes, _key_rows(bits, groups, width, begin, end), "fp long, root long, more array<long>, keys array<long>")
+        keyed = keyed.select("fp", "root", *(F.col("more")[i].alias(f"w{i}") for i in range(CARRIED - 1)), F.explode("keys").alias("key"))
         pairs = _candidates(keyed, similarity, crowd)
         sure, close = _judged(pairs, firsts, width, similarity)
         return sure.unionByName(_alike(close, firsts, base, size, similarity))
@@ -261,18 +266,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _candidates(keyed: DataFrame, similarity: float, crowd: int) -> DataFrame:
-    """(fp, root, key) -> distinct pairs (u, v) of different roots that share a key."""
+    """(fp, root, w0.., key) -> distinct pairs (u, v) of different roots that share a key."""
     meetings = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "root")).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
     meetings = stage(meetings.filter("low < high").select("key", "n", "leader"), "meetings")
     # most keys meet no other: the rest are few, and are hashed, not sorted
     met = stage(keyed.join(meetings.hint("shuffle_hash"), "key"), "met")
     most = _share(similarity)
-    # one word's distance, four deviations above its mean, spares most comparisons
-    rough = math.ceil(64 * most + 4 * math.sqrt(64 * most * (1 - most)))
-    sparse = met.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "root")).alias("all"))
-    each = sparse.select(F.explode("all").alias("one"), "all").select(F.col("one.fp").alias("u"), F.col("one.root").alias("root"), "all")
-    near = each.select("u", F.explode(F.filter("all", lambda o: (o["fp"] < F.col("u")) & (o["root"] != F.col("root")) & (F.bit_count(o["fp"].bitwiseXOR(F.col("u"))) <= rough))).alias("o")).select("u", F.col("o.fp").alias("v"))
-    stars = met.filter((F.col("n") > crowd) & (F.col("root") != F.col("leader.root"))).select(F.col("fp").alias("u"), F.col("leader.fp").alias("v")).filter(_apart("u", "v") <= rough)
+    # a few words' distance, four deviations above its mean, spares most comparisons
+    rough = [math.ceil(64 * n * most + 4 * math.sqrt(64 * n * most * (1 - most))) for n in (1, CARRIED)]
+    names = ["fp", *(f"w{i}" for i in range(CARRIED - 1))]
+    sparse = met.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("root", *names)).alias("all"))
+    each = sparse.select(F.explode("all").alias("one"), "all")
+
+    def close(o: Column) -> Column:
+        apart = sum((F.bit_count(o[x].bitwiseXOR(F.col("one")[x])) for x in names[1:]), F.bit_count(o["fp"].bitwiseXOR(F.col("one.fp"))))
+        return (o["fp"] < F.col("one.fp")) & (o["root"] != F.col("one.root")) & (apart <= rough[1])
+
+    near = each.select(F.col("one.fp").alias("u"), F.explode(F.filter("all", close)).alias("o")).select("u", F.col("o.fp").alias("v"))
+    stars = met.filter((F.col("n") > crowd) & (F.col("root") != F.col("leader.root"))).select(F.col("fp").alias("u"), F.col("leader.fp").alias("v")).filter(_apart("u", "v") <= rough[0])
     return stage(near.unionByName(stars).distinct(), "candidates")
 
 
