@@ -43,7 +43,7 @@ BLOCKS = 5
 CROWD = 64
 #: Similarity of whole documents: words of a shingle, least Jaccard similarity,
 #: least 64-bit words of a fingerprint, blocks of a group, and the fingerprints of a
-#: key up to which all pairs are compared.
+#: key up to which all pairs are compared at once.
 SIZE, SIMILARITY, WIDTH, GROUP, FEW = 5, 0.8, 16, 6, 8
 #: The least chance that a pair at that similarity shares a key.
 RECALL = 0.96
@@ -51,6 +51,8 @@ RECALL = 0.96
 AHEAD = 4
 #: The 64-bit words of a fingerprint that travel with its keys.
 CARRIED = 4
+#: Fingerprints of a crowded key that are compared with as many others in one row.
+SIDE = 256
 
 
 def _share(similarity: float) -> float:
@@ -237,8 +239,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     two blocks of a group: at ``similarity`` with the chance RECALL, at 0.9 with one
     of over 0.999 (see ``key_plan``).
 
-    In a key with more than ``crowd`` fingerprints each is compared with the least
-    of them, not with all: members alike to it are one component anyway.
+    In a key with more than ``crowd`` fingerprints each is first compared with the
+    least of them: members alike to it are one component.  What is in different
+    components after that is compared pair by pair (see ``_dense``).
 
     A few groups of keys are met first.  Of the others, a key whose fingerprints
     are one component by then can link nothing new and is left out, as is a pair
@@ -249,24 +252,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stage(arrow_map(base, _wide(size, width), "doc_id long, sum long, fp long, wide array<long>"), "fingerprints")
     firsts = stage(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "sum", "wide")).alias("one")).select("fp", "least", "one.*"), "prints")
     ahead = -(-groups // AHEAD)
+    crowds = []
 
     def linked(nodes: DataFrame, begin: int, end: int) -> DataFrame:
         keyed = arrow_map(nodes, _key_rows(bits, groups, width, begin, end), "fp long, root long, more array<long>, keys array<long>")
         keyed = keyed.select("fp", "root", *(F.col("more")[i].alias(f"w{i}") for i in range(CARRIED - 1)), F.explode("keys").alias("key"))
-        pairs = _candidates(keyed, similarity, crowd)
+        pairs, members = _candidates(keyed, similarity, crowd)
+        crowds.append(members)
         sure, close = _judged(pairs, firsts, width, similarity)
         return sure.unionByName(_alike(close, firsts, base, size, similarity))
 
     early = stage(components(linked(firsts.select("fp", F.col("fp").alias("root"), "wide"), 0, ahead)), "early")
-    rooted = firsts.join(early, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "wide")
-    links = early.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = early
     if ahead < groups:
-        links = links.unionByName(linked(rooted, ahead, groups))
+        late = linked(_rooted(firsts, early), ahead, groups)
+        roots = stage(components(early.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late)), "late")
+    members = crowds[0] if len(crowds) == 1 else crowds[0].unionByName(crowds[1])
+    dense = stage(_dense(members, _rooted(firsts, roots), width, similarity), "dense")
+    links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(_alike(dense, firsts, base, size, similarity))
     return _named(found.select("doc_id", "fp"), firsts.select("fp", "least"), links).select("doc_id", "component_id")
 
 
-def _candidates(keyed: DataFrame, similarity: float, crowd: int) -> DataFrame:
-    """(fp, root, w0.., key) -> distinct pairs (u, v) of different roots that share a key."""
+def _rooted(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    return firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "wide")
+
+
+def _candidates(keyed: DataFrame, similarity: float, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, root, w0.., key) -> distinct pairs (u, v) of different roots that share a
+    key, of crowded keys with its least only; and the (fp, key) of crowded keys."""
     meetings = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "root")).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
     meetings = stage(meetings.filter("low < high").select("key", "n", "leader"), "meetings")
     # most keys meet no other: the rest are few, and are hashed, not sorted
@@ -284,17 +297,64 @@ def _candidates(keyed: DataFrame, similarity: float, crowd: int) -> DataFrame:
 
     near = each.select(F.col("one.fp").alias("u"), F.explode(F.filter("all", close)).alias("o")).select("u", F.col("o.fp").alias("v"))
     stars = met.filter((F.col("n") > crowd) & (F.col("root") != F.col("leader.root"))).select(F.col("fp").alias("u"), F.col("leader.fp").alias("v")).filter(_apart("u", "v") <= rough[0])
-    return stage(near.unionByName(stars).distinct(), "candidates")
+    return stage(near.unionByName(stars).distinct(), "candidates"), met.filter(F.col("n") > crowd).select("fp", "key")
+
+
+def _dense(members: DataFrame, rooted: DataFrame, width: int, similarity: float) -> DataFrame:
+    """All pairs (u, v) of different roots in crowded keys whose fingerprints do not
+    rule them out.
+
+    A key's members are dealt into sides of about ``SIDE``, and each side meets each:
+    no task holds a whole key, and no pair is left out.
+    """
+    each = members.groupBy("fp").agg(F.collect_list("key").alias("keys")).join(rooted.select("fp", "root"), "fp")
+    met = stage(each.select("fp", "root", F.explode("keys").alias("key")), "crowds")
+    keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    open_ = met.join(keys.select("key", "n"), "key").groupBy("fp").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
+    wide = open_.join(rooted, "fp").select("fp", "root", "wide", F.explode("keys").alias("k"))
+    sides = F.ceil(F.col("k.n") / SIDE).cast("int")
+    dealt = wide.select("fp", "root", "wide", "k.key", sides.alias("sides"), F.pmod(F.xxhash64("fp"), sides).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("fp", "root", "own", "wide").alias("one"))
+    blocks = dealt.groupBy("key", "low", "high").agg(F.collect_list("one").alias("all"))
+    limit = _limits(width, similarity)[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                all_ = batch.column(2).slice(i, 1).flatten()
+                fp, root, own = (all_.field(k).to_numpy() for k in ("fp", "root", "own"))
+                prints = all_.field("wide").flatten().to_numpy().view(U64).reshape(len(fp), -1)
+                a, b = (np.flatnonzero(own == batch.column(k)[i].as_py()) for k in (0, 1))
+                x, y = close_pairs(prints[a], prints[b], root[a], root[b], limit)
+                u, v = fp[a[x]], fp[b[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return arrow_map(blocks.select("low", "high", "all"), run, "u long, v long").distinct()
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of other roots at most ``limit`` bits apart."""
+    apart = np.zeros((len(a), len(b)), np.int32)
+    for word in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
+    return np.nonzero((apart <= limit) & (root_a[:, None] != root_b[None, :]))
+
+
+def _limits(width: int, similarity: float) -> tuple[int, int]:
+    """Bits up to which pairs are surely alike, and above which they surely are not."""
+    most = _share(similarity)
+    mean, spread = 64 * width * most, 3 * math.sqrt(64 * width * most * (1 - most))
+    return int(mean - spread), int(mean + spread)
 
 
 def _judged(pairs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """The pairs surely alike by their whole fingerprints, and those to be checked."""
-    most = _share(similarity)
+    least, most = _limits(width, similarity)
     left, right = (firsts.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}")) for n in "uv")
     distance = F.aggregate(F.zip_with("wide_u", "wide_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    mean, spread = 64 * width * most, 3 * math.sqrt(64 * width * most * (1 - most))
-    scored = stage(pairs.join(left, "u").join(right, "v").select("u", "v", distance.alias("distance")).filter(F.col("distance") <= int(mean + spread)), "scored")
-    sure = F.col("distance") <= int(mean - spread)
+    scored = stage(pairs.join(left, "u").join(right, "v").select("u", "v", distance.alias("distance")).filter(F.col("distance") <= most), "scored")
+    sure = F.col("distance") <= least
     return scored.filter(sure).select("u", "v"), scored.filter(~sure).select("u", "v")
 
 

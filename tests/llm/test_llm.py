@@ -236,6 +236,27 @@ def test_similar_groups(spark, monkeypatch):
         assert dict(collected(simhash_dedup.similar_groups(df), "doc_id", "component_id")) == want
 
 
+def test_family_of_templates(spark, monkeypatch):
+    """Near copies among pages of one template that lie below 0.8, against all pairs."""
+    data = [[f"t{j}" for j in range(240)] + [f"p{i}x{j}" for j in range(60)] for i in range(300)]
+    data += [page[:240] + [f"q{i}x{j}" for j in range(15)] + page[255:] for i, page in enumerate(data[:30])]
+    sets = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in data]
+    links = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert links == {(300 + i, i) for i in range(30)}
+    monkeypatch.setattr(simhash_dedup, "SIDE", 16, raising=False)
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(data)], "doc_id bigint, text string")
+    got = dict(collected(simhash_dedup.similar_groups(df), "doc_id", "component_id"))
+    assert {i for i in range(330) if got[i] != i} == set(range(300, 330)) and all(got[a] == b for a, b in links)
+
+
+def test_close_pairs():
+    r = np.random.default_rng(0)
+    a, b = (r.integers(0, 4, (n, 2), dtype=np.uint64) for n in (7, 9))
+    roots_a, roots_b = r.integers(0, 3, 7), r.integers(0, 3, 9)
+    want = {(i, j) for i in range(7) for j in range(9) if roots_a[i] != roots_b[j] and sum((int(x) ^ int(y)).bit_count() for x, y in zip(a[i], b[j])) <= 1}
+    assert set(zip(*(x.tolist() for x in simhash_dedup.close_pairs(a, b, roots_a, roots_b, 1)))) == want
+
+
 # ---------------------------------------------------------------------- URLs
 
 
