@@ -14,7 +14,7 @@ components are the same with 64 rows for a fingerprint instead of all pairs (for
 ``similar_groups`` finds documents of a Jaccard similarity, which needs more bits
 than 64 and a share of them as the limit; blocks, join and check are the same.
 
-Copies share a fingerprint and are one node.  Components come from
+Copies share a fingerprint (there: a set of shingles) and are one node.  Components come from
 ``_components``; nothing is gathered on the driver.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
@@ -165,26 +165,28 @@ def _named(found: DataFrame, firsts: DataFrame, linked: DataFrame) -> DataFrame:
 # ------------------------------------------------- similarity of whole documents
 
 
-def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int = SIZE, width: int = WIDTH) -> np.ndarray:
-    """Rows of ``width`` 64-bit words: the first from the shingles' XXH64 itself,
-    the others from hashes of it."""
+def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, size: int = SIZE, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each text's set of shingles, and rows of ``width`` 64-bit words: the
+    first from the distinct shingles' XXH64 itself, the others from hashes of it."""
     data, starts, ends, bounds = _shape(raw, offsets)
     s, e = starts.tolist(), ends.tolist()
     digest = xxhash.xxh64_intdigest
     salts = mix(np.arange(1, width, dtype=U64) * U64(0x9E3779B97F4A7C15))
     out = np.zeros((len(offsets) - 1, width), U64)
+    sets = np.zeros(len(out), U64)
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         if a == b:
             continue
         n = max(b - a - size + 1, 1)
-        hashes = np.array([digest(data[x:y], 42) for x, y in zip(s[a : a + n], e[min(a + size, b) - 1 : b])], dtype=U64)
+        hashes = np.unique(np.array([digest(data[x:y], 42) for x, y in zip(s[a : a + n], e[min(a + size, b) - 1 : b])], dtype=U64))
+        n, sets[i] = len(hashes), digest(hashes.tobytes(), 42)
         ones = np.zeros(64 * width, np.int64)
         for low in range(0, n, 255):  # as many rows as bytes can count
             part = hashes[low : low + 255, None]
             rows = np.concatenate([part, mix(part ^ salts)], axis=1)
             ones += np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
         out[i] = np.packbits(2 * ones > n, bitorder="little").view(U64)
-    return out
+    return sets, out
 
 
 def block_keys(prints: np.ndarray, bits: int, groups: int, group: int = GROUP) -> np.ndarray:
@@ -201,9 +203,9 @@ def _wide(size: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                found = wide_fingerprints(*text_bytes(part.column(1)), size, width).view(np.int64)
+                sets, found = (x.view(np.int64) for x in wide_fingerprints(*text_bytes(part.column(1)), size, width))
                 wide = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, width, dtype=np.int32)), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.ascontiguousarray(found[:, 0])), wide], names=["doc_id", "sum", "fp", "wide"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets), wide], names=["doc_id", "sum", "fp", "wide"])
 
     return run
 
@@ -219,8 +221,8 @@ def _key_rows(bits: int, groups: int, width: int, begin: int, end: int):
                 each = keys.shape[1] // groups
                 keys = keys[:, begin * each : end * each]
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                first = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(prints[:, 1:CARRIED]).view(np.int64).ravel()), CARRIED - 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first.cast(pa.list_(pa.int64())), rows], names=["fp", "root", "more", "keys"])
+                first = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(prints[:, :CARRIED]).view(np.int64).ravel()), CARRIED)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), first.cast(pa.list_(pa.int64())), rows], names=["fp", "root", "some", "keys"])
 
     return run
 
@@ -234,8 +236,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Two documents of Jaccard similarity J differ, on average, in a share of
     acos(2 J / (1 + J)) / pi of their fingerprints' bits.  Pairs three standard
-    deviations below that share for ``similarity`` are linked, those as far above it
-    are not, and those between are decided by their sets of shingles.  Candidates share
+    deviations above that share for ``similarity`` are not linked; all others are
+    decided by their sets of shingles, as only equal sets are one node.  Candidates share
     two blocks of a group: at ``similarity`` with the chance RECALL, at 0.9 with one
     of over 0.999 (see ``key_plan``).
 
@@ -255,12 +257,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     crowds = []
 
     def linked(nodes: DataFrame, begin: int, end: int) -> DataFrame:
-        keyed = arrow_map(nodes, _key_rows(bits, groups, width, begin, end), "fp long, root long, more array<long>, keys array<long>")
-        keyed = keyed.select("fp", "root", *(F.col("more")[i].alias(f"w{i}") for i in range(CARRIED - 1)), F.explode("keys").alias("key"))
+        keyed = arrow_map(nodes, _key_rows(bits, groups, width, begin, end), "fp long, root long, some array<long>, keys array<long>")
+        keyed = keyed.select("fp", "root", *(F.col("some")[i].alias(f"w{i}") for i in range(CARRIED)), F.explode("keys").alias("key"))
         pairs, members = _candidates(keyed, similarity, crowd)
         crowds.append(members)
-        sure, close = _judged(pairs, firsts, width, similarity)
-        return sure.unionByName(_alike(close, firsts, base, size, similarity))
+        return _alike(_judged(pairs, firsts, width, similarity), firsts, base, size, similarity)
 
     early = stage(components(linked(firsts.select("fp", F.col("fp").alias("root"), "wide"), 0, ahead)), "early")
     roots = early
@@ -280,23 +281,23 @@ def _rooted(firsts: DataFrame, roots: DataFrame) -> DataFrame:
 def _candidates(keyed: DataFrame, similarity: float, crowd: int) -> tuple[DataFrame, DataFrame]:
     """(fp, root, w0.., key) -> distinct pairs (u, v) of different roots that share a
     key, of crowded keys with its least only; and the (fp, key) of crowded keys."""
-    meetings = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "root")).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
+    meetings = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "root", "w0")).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
     meetings = stage(meetings.filter("low < high").select("key", "n", "leader"), "meetings")
     # most keys meet no other: the rest are few, and are hashed, not sorted
     met = stage(keyed.join(meetings.hint("shuffle_hash"), "key"), "met")
     most = _share(similarity)
     # a few words' distance, four deviations above its mean, spares most comparisons
     rough = [math.ceil(64 * n * most + 4 * math.sqrt(64 * n * most * (1 - most))) for n in (1, CARRIED)]
-    names = ["fp", *(f"w{i}" for i in range(CARRIED - 1))]
-    sparse = met.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("root", *names)).alias("all"))
+    names = [f"w{i}" for i in range(CARRIED)]
+    sparse = met.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list(F.struct("fp", "root", *names)).alias("all"))
     each = sparse.select(F.explode("all").alias("one"), "all")
 
     def close(o: Column) -> Column:
-        apart = sum((F.bit_count(o[x].bitwiseXOR(F.col("one")[x])) for x in names[1:]), F.bit_count(o["fp"].bitwiseXOR(F.col("one.fp"))))
+        apart = sum((F.bit_count(o[x].bitwiseXOR(F.col("one")[x])) for x in names), F.lit(0))
         return (o["fp"] < F.col("one.fp")) & (o["root"] != F.col("one.root")) & (apart <= rough[1])
 
     near = each.select(F.col("one.fp").alias("u"), F.explode(F.filter("all", close)).alias("o")).select("u", F.col("o.fp").alias("v"))
-    stars = met.filter((F.col("n") > crowd) & (F.col("root") != F.col("leader.root"))).select(F.col("fp").alias("u"), F.col("leader.fp").alias("v")).filter(_apart("u", "v") <= rough[0])
+    stars = met.filter((F.col("n") > crowd) & (F.col("root") != F.col("leader.root"))).filter(_apart("w0", "leader.w0") <= rough[0]).select(F.col("fp").alias("u"), F.col("leader.fp").alias("v"))
     return stage(near.unionByName(stars).distinct(), "candidates"), met.filter(F.col("n") > crowd).select("fp", "key")
 
 
@@ -317,7 +318,7 @@ def _dense(members: DataFrame, rooted: DataFrame, width: int, similarity: float)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("fp", "root", "own", "wide").alias("one"))
     blocks = dealt.groupBy("key", "low", "high").agg(F.collect_list("one").alias("all"))
-    limit = _limits(width, similarity)[1]
+    limit = _limit(width, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,21 +342,17 @@ def close_pairs(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.nda
     return np.nonzero((apart <= limit) & (root_a[:, None] != root_b[None, :]))
 
 
-def _limits(width: int, similarity: float) -> tuple[int, int]:
-    """Bits up to which pairs are surely alike, and above which they surely are not."""
+def _limit(width: int, similarity: float) -> int:
+    """Bits above which pairs surely are not alike."""
     most = _share(similarity)
-    mean, spread = 64 * width * most, 3 * math.sqrt(64 * width * most * (1 - most))
-    return int(mean - spread), int(mean + spread)
+    return int(64 * width * most + 3 * math.sqrt(64 * width * most * (1 - most)))
 
 
-def _judged(pairs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The pairs surely alike by their whole fingerprints, and those to be checked."""
-    least, most = _limits(width, similarity)
+def _judged(pairs: DataFrame, firsts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose whole fingerprints do not rule them out."""
     left, right = (firsts.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}")) for n in "uv")
     distance = F.aggregate(F.zip_with("wide_u", "wide_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    scored = stage(pairs.join(left, "u").join(right, "v").select("u", "v", distance.alias("distance")).filter(F.col("distance") <= most), "scored")
-    sure = F.col("distance") <= least
-    return scored.filter(sure).select("u", "v"), scored.filter(~sure).select("u", "v")
+    return stage(pairs.join(left, "u").join(right, "v").filter(distance <= _limit(width, similarity)).select("u", "v"), "scored")
 
 
 def _alike(pairs: DataFrame, firsts: DataFrame, base: DataFrame, size: int, similarity: float) -> DataFrame:

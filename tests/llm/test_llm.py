@@ -249,6 +249,15 @@ def test_family_of_templates(spark, monkeypatch):
     assert {i for i in range(330) if got[i] != i} == set(range(300, 330)) and all(got[a] == b for a, b in links)
 
 
+def test_repeated_words_decide_nothing(spark):
+    """Different texts with one long run of a word, and copies but for case and spaces."""
+    data = [" ".join([f"a{i}x{j}" for j in range(100)] + ["same"] * run) for i, run in enumerate((34, 34, 64, 64, 300, 300))]
+    data += [data[0].upper().replace(" ", "  ")]
+    assert simhash_dedup.jaccard(data[0], data[1], 5) < 0.01 and simhash_dedup.jaccard(data[0], data[6], 5) == 1
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string")
+    assert dict(collected(simhash_dedup.similar_groups(df), "doc_id", "component_id")) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
+
+
 def test_close_pairs():
     r = np.random.default_rng(0)
     a, b = (r.integers(0, 4, (n, 2), dtype=np.uint64) for n in (7, 9))
