@@ -5,8 +5,12 @@ are evaluated as expressions.  The trees see lexical features only: lengths,
 depth, digit ratio, entropy, parameters, and statistics of the host's suffix.
 
 Labels: an own label column, or else the rules' verdicts.  The trees are fitted on
-the driver to at most ``SAMPLE`` labelled URLs, those with the least hash (a
-sample that does not depend on partitions); all URLs are judged, in Arrow batches.
+the driver to at most ``SAMPLE`` distinct labelled URLs, those with the least hash
+(a sample that does not depend on partitions); all URLs are judged, in Arrow batches.
+
+The suffix statistics are counted over all labelled pages and joined to the URLs.
+Suffixes of over one in ``HOT`` of the pages to be judged, fewer than ``HOT`` of a
+kind by that, go with the function; the others are joined through a shuffle.
 
 Defined cases: null URLs and those without "://" have an empty host and path, fit
 no rule and are judged by the trees; without labels of both kinds the method says
@@ -26,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, table
+from ._common import arrow_map, stage, table
 
 SAMPLE = 20_000
+HOT = 1_000
+PRIOR = 10.0
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,14 +65,18 @@ class Suffixes:
         return labels[-1], ".".join(labels[-2:]), path[1:].split("/")[0][:16]
 
     @classmethod
-    def fit(cls, rows: Sequence[tuple[str, str]], blocked: np.ndarray, prior: float = 10.0) -> Suffixes:
-        mean = float(blocked.mean()) if len(blocked) else 0.0
+    def fit(cls, rows: Sequence[tuple[str, str]], blocked: np.ndarray, prior: float = PRIOR) -> Suffixes:
         tables: tuple[dict[str, list], ...] = ({}, {}, {})
         for row, y in zip(rows, blocked):
             for t, key in zip(tables, cls.keys(*row)):
                 seen = t.setdefault(key, [0, 0])
                 seen[0] += int(y)
                 seen[1] += 1
+        return cls.of(tables, float(blocked.mean()) if len(blocked) else 0.0, prior)
+
+    @classmethod
+    def of(cls, tables: Sequence[dict[str, Sequence[int]]], mean: float, prior: float = PRIOR) -> Suffixes:
+        """From (blocked, seen) by last label, by the two last and by first segment."""
         rate = lambda s: (s[0] + prior * mean) / (s[1] + prior)
         return cls({k: (rate(s), s[1]) for k, s in tables[0].items()}, {k: rate(s) for k, s in tables[1].items()}, {k: rate(s) for k, s in tables[2].items()}, mean)
 
@@ -158,17 +168,17 @@ class Model:
     constant: str = "allow"
 
     @classmethod
-    def fit(cls, rows: Sequence[tuple[str, str, str]], blocked: Sequence[bool]) -> Model:
+    def fit(cls, rows: Sequence[tuple[str, str, str]], blocked: Sequence[bool], suffixes: Suffixes | None = None) -> Model:
         y = np.array(blocked, float)
-        suffixes = Suffixes.fit([(h, p) for _, h, p in rows], y)
+        suffixes = suffixes or Suffixes.fit([(h, p) for _, h, p in rows], y)
         if len(set(blocked)) < 2:
             return cls(suffixes, None, "block" if len(y) and y[0] else "allow")
         return cls(suffixes, BoostedTrees().fit(np.array([features(*r, suffixes) for r in rows], float), y))
 
-    def blocks(self, rows: Sequence[tuple[str, str, str]]) -> np.ndarray:
+    def blocks(self, rows: Sequence[tuple[str, str, str]], suffixes: Suffixes | None = None) -> np.ndarray:
         if self.trees is None or not len(rows):
             return np.full(len(rows), self.constant == "block")
-        return self.trees.score(np.array([features(*r, self.suffixes) for r in rows], float)) > 0
+        return self.trees.score(np.array([features(*r, suffixes or self.suffixes) for r in rows], float)) > 0
 
 
 # --------------------------------------------------------------------- Spark
@@ -191,6 +201,21 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return name, verdict
 
 
+def suffix_keys(host: Column, path: Column) -> list[Column]:
+    """``Suffixes.keys`` as expressions."""
+    name = F.substring_index(host, ":", 1)
+    return [F.substring_index(name, ".", -1), F.substring_index(name, ".", -2), F.substring(F.substring_index(F.expr("substring(path, 2)"), "/", 1), 1, 16)]
+
+
+def suffix_counts(judged: DataFrame) -> DataFrame:
+    """(kind, suffix, blocked, seen, open) over all pages: those labelled "block", those
+    labelled, and those without a rule."""
+    label = F.coalesce("label", "by_rule")
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("suffix")) for i, k in enumerate(suffix_keys(F.col("host"), F.col("path"))))))
+    one = judged.select(label.eqNullSafe("block").cast("long").alias("blocked"), F.coalesce(label.isin("allow", "block"), F.lit(False)).cast("long").alias("seen"), F.col("by_rule").isNull().cast("long").alias("open"), each.alias("k"))
+    return one.groupBy("k.kind", "k.suffix").agg(*(F.sum(c).alias(c) for c in ("blocked", "seen", "open")))
+
+
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", label: Column | None = None, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict of every row.
 
@@ -201,19 +226,49 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_co
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = base.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "label")
     labelled = judged.select("url", "host", "path", F.coalesce("label", "by_rule").alias("label")).filter("label IN ('allow', 'block')")
-    rows = labelled.orderBy(F.xxhash64("url"), "url", "label").limit(sample).collect()  # at most ``sample`` rows
-    model = Model.fit([(r.url, r.host, r.path) for r in rows], [r.label == "block" for r in rows])
+    rows = labelled.groupBy("url", "host", "path").agg(F.when(F.avg((F.col("label") == "block").cast("int")) > 0.5, "block").otherwise("allow").alias("label")).orderBy(F.xxhash64("url"), "url").limit(sample).collect()  # at most ``sample`` rows
+    counts = stage(suffix_counts(judged), "suffixes")
+    blocked, seen, unruled = (x or 0 for x in counts.filter("kind = 0").agg(F.sum("blocked"), F.sum("seen"), F.sum("open")).first())
+    mean = blocked / seen if seen else 0.0
+    is_hot = F.col("open") * HOT > unruled
+
+    def tables(found: DataFrame) -> tuple[dict, dict, dict]:
+        out: tuple[dict, dict, dict] = ({}, {}, {})
+        for r in found.collect():
+            out[r.kind][r.suffix] = (r.blocked, r.seen)
+        return out
+
+    wanted = {(i, k) for r in rows for i, k in enumerate(Suffixes.keys(r.host, r.path))}  # at most three for a row
+    wanted_df = pages.sparkSession.createDataFrame(sorted(wanted), "kind int, suffix string")
+    model = Model.fit([(r.url, r.host, r.path) for r in rows], [r.label == "block" for r in rows], Suffixes.of(tables(counts.join(wanted_df, ["kind", "suffix"])), mean))
+    hot = tables(counts.filter(is_hot & (F.col("seen") > 0)))
+    model.suffixes = Suffixes({}, {}, {}, mean)
+
+    # rows that need no join get a key that no suffix has, and so spread over the tasks
+    joined = judged.drop("label")
+    rare = counts.filter(~is_hot & (F.col("seen") > 0))
+    hot_keys = counts.filter(is_hot).select("kind", "suffix").collect()  # fewer than HOT of a kind
+    for i, key in enumerate(suffix_keys(F.col("host"), F.col("path"))):
+        known = [r.suffix for r in hot_keys if r.kind == i]
+        own = F.when(F.col("by_rule").isNotNull() | key.isin(known), F.concat(F.lit("-"), "url", F.lit(" "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).otherwise(F.concat(F.lit("+"), key))
+        found = rare.filter(F.col("kind") == i).select(F.concat(F.lit("+"), "suffix").alias(f"_k{i}"), F.struct("blocked", "seen").alias(f"s{i}"))
+        joined = joined.withColumn(f"_k{i}", own).join(found, f"_k{i}", "left").drop(f"_k{i}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = batch.to_pydict()
             verdicts = list(cols["by_rule"])
             open_ = [i for i, v in enumerate(verdicts) if v is None]
-            for i, blocked in zip(open_, model.blocks([(cols["url"][i], cols["host"][i], cols["path"][i]) for i in open_])):
+            near = tuple(dict(t) for t in hot)
+            for i in open_:
+                for k, key in enumerate(Suffixes.keys(cols["host"][i], cols["path"][i])):
+                    if (s := cols[f"s{k}"][i]) is not None:
+                        near[k][key] = (s["blocked"], s["seen"])
+            for i, blocked in zip(open_, model.blocks([(cols["url"][i], cols["host"][i], cols["path"][i]) for i in open_], Suffixes.of(near, mean))):
                 verdicts[i] = "block" if blocked else "allow"
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return arrow_map(judged.drop("label"), run, "page_id long, host string, path string, rule string, verdict string")
+    return arrow_map(joined, run, "page_id long, host string, path string, rule string, verdict string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

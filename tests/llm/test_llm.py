@@ -292,6 +292,24 @@ def test_trees_on_held_out_urls():
     assert url_filter.Model.fit([], []).constant == "allow"
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_suffixes_of_all_pages(spark, monkeypatch, hot):
+    """Suffix counts go beyond the sample, and copies of one URL do not fill it."""
+    data = [(f"http://h{i}.{'bad' if i % 2 else 'good'}/p{i % 7}/", "block" if i % 2 else "allow") for i in range(400)]
+    data += [("http://hot.good/", "allow")] * 300 + [("http://u:8/a/b", None), ("x", None), ("http://h1.bad/q", None)]
+    pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(data)], "page_id bigint, url string, y string")
+    fitted, batches = [], []
+    fit, of = url_filter.Model.fit.__func__, url_filter.Suffixes.of.__func__
+    monkeypatch.setattr(url_filter.Model, "fit", classmethod(lambda cls, rows, *rest: fitted.append((rows, *rest)) or fit(cls, rows, *rest)))
+    monkeypatch.setattr(url_filter.Suffixes, "of", classmethod(lambda cls, tables, *rest: batches.append(tables) or of(cls, tables, *rest)))
+    monkeypatch.setattr(url_filter, "HOT", hot)
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, (), label=F.col("y"), sample=40).collect()}
+    rows, _, suffixes = fitted[0]
+    assert len(set(rows)) == len(rows) == 40
+    assert batches[0][0] == {"bad": (200, 200), "good": (0, 500)}
+    assert got[1] == got[702] == "block" and got[0] == got[500] == "allow" and len(got) == 703
+
+
 # ----------------------------------------------------------------------- BPE
 
 
