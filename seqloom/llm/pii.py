@@ -1,21 +1,22 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are the e-mail addresses, IP addresses, card and telephone
-numbers of the texts.  Their contexts are the ``REACH`` words on either side.  For
-an entity e and a term t of its contexts, with N documents,
+numbers of the texts.  Terms are the words with a letter or digit, outside of
+entities.  For an entity e and a term t of its documents, with N documents,
 
     IC(e)     = -log2(n(e) / N)
     PMI(e; t) =  log2(n(e, t) * N / (n(e) * n(t)))
 
 where n counts documents, over the whole corpus.  PMI reaches IC(e) when t never
-occurs without e, that is, when t tells e.  A term of ``SUPPORT`` different
-contexts (copies of one context count once) is *generalised* from
-``GENERALISE`` * IC(e) and *removed* from ``REMOVE`` * IC(e) on.
+occurs without e, that is, when t tells e.  A term that shares ``SUPPORT``
+different texts with e (copies of a text count once) is *generalised* from
+``GENERALISE`` * IC(e) and *removed* from ``REMOVE`` * IC(e) on, wherever it
+occurs in documents that hold e.
 
-One pass finds entities and contexts, another counts the documents of every word,
-summed within tasks before the shuffle.  What is joined are contexts, words and
-numbers; a hot entity's contexts are dealt by (entity, term) and summed first.
-Texts are not shuffled by ``find``.
+One pass finds entities and the words of documents that hold any, another counts
+the documents of every word, and a third those of every entity and word, both
+summed within tasks before the shuffle.  Entities of fewer than ``SUPPORT`` texts
+can have no such term and are left out of it.  Texts are not shuffled by ``find``.
 
 Defined cases: null texts count as empty; null doc_ids stay; repeated rows each
 get a row, and count as documents; an empty table gives an empty result; columns
@@ -39,7 +40,6 @@ from pyspark.sql import functions as F
 from ._common import _LOWER, arrow_map, chunks, keyed, keyed_rows, rewrite, stage, table, text_bytes, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH = 5
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.98
 
@@ -48,8 +48,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PAIR = "0246813579"  # Luhn: twice a digit, its digits summed
 
@@ -95,57 +94,83 @@ def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, context, start, end) of the terms near each span."""
-    if not spans:
-        return []
-    out = []
-    for a, kind, b in spans:
-        lo, hi = max(0, a - 64 * reach), min(len(text), b + 64 * reach)
-        near = [m for m in _WORD.finditer(text, lo, hi)]
-        before = [m for m in near if m.end() <= a][-reach:]
-        after = [m for m in near if m.start() >= b][:reach]
-        entity = _hash(f"{kind}:{re.sub('[^A-Za-z0-9.@]', '', text[a:b]).translate(_ASCII_LOWER)}")
-        terms = [(m, _term(m.group())) for m in before + after]
-        context = _hash("\n".join(m.group() for m in before) + "\n\n" + "\n".join(m.group() for m in after))
-        out += [(entity, term, context, m.start(), m.end()) for m, term in terms if term is not None and not any(s < m.end() and m.start() < e for s, _, e in spans)]
-    return out
+def entity_of(text: str, span: tuple[int, int, int]) -> int:
+    start, kind, stop = span
+    return _hash(f"{kind}:{re.sub('[^A-Za-z0-9.@]', '', text[start:stop]).translate(_ASCII_LOWER)}")
 
 
-def _term(word: str) -> int | None:
-    """The hash that ``word_hashes`` gives the lower-cased word; none for what is
-    no term (fewer than three letters in a row)."""
-    if not _TERM.search(word):
-        return None
-    raw = np.frombuffer(word.translate(_ASCII_LOWER).encode(), np.uint8)
-    return int(word_hashes(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0])
+def terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (as ``word_hashes`` of lower-cased words), starts and stops of all
+    words with a letter or digit that touch no span."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    low = _LOWER[raw]
+    starts, ends, _ = words(low, np.array([0, len(low)]))
+    place = np.cumsum((raw & 0xC0) != 0x80)
+    covered = np.zeros(len(text) + 1, np.int64)
+    for a, _, b in spans:
+        covered[a + 1 : b + 1] = 1
+    covered = np.cumsum(covered)
+    alnum = np.concatenate([[0], np.cumsum(_ALNUM[raw])])
+    begin, stop = place[starts] - 1, place[ends - 1]
+    keep = (covered[stop] == covered[begin]) & (alnum[ends] > alnum[starts])
+    return word_hashes(low, starts[keep], ends[keep]).view(np.int64), begin[keep].astype(np.int32), stop[keep].astype(np.int32)
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
-FOUND = "doc_id long, _did long, _key long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,stop:int>>, near array<struct<entity:long,term:long,context:long,start:int,stop:int>>"
+FOUND = "doc_id long, _did long, _key long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,stop:int>>, _copy long, entities array<long>, words array<struct<term:long,start:int,stop:int>>"
 
 
-def _scan(reach: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 33
-        for batch in batches:
-            counts, shas, bases, nears = [], [], [], []
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context = TaskContext.get()
+    row = (context.partitionId() if context else 0) << 33
+    for whole in batches:
+        for batch in chunks(whole):
+            counts, shas, bases, copies, entities, found = [], [], [], [], [], []
             for text in batch.column(3).to_pylist():
                 spans = base_spans(text)
                 counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
                 shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())
                 bases.append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
-                nears.append([dict(zip(("entity", "term", "context", "start", "stop"), x)) for x in contexts(text, spans, reach)])
+                copies.append(_hash(text))
+                entities.append(sorted({entity_of(text, x) for x in spans}))
+                found.append(terms(text, spans) if spans else terms("", []))
             n = batch.num_rows
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["term", "start", "stop"])
+            near = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.arange(row, row + n)), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(shas, pa.string()), pa.array(bases, _SPAN), pa.array(nears, _NEAR)],
-                names=["doc_id", "_did", "_key", "_row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
+                [*batch.columns[:3], pa.array(np.arange(row, row + n)), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(shas, pa.string()), pa.array(bases, _SPAN), pa.array(copies, pa.int64()), pa.array(entities, pa.list_(pa.int64())), near],
+                names=["doc_id", "_did", "_key", "_row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "_copy", "entities", "words"],
             )
             row += n
 
-    return run
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, term, docs, texts) from (first, entities, words), each row a document
+    and the first of its copies or not, summed over some millions of them."""
+    held, size = [], 0
+
+    def give() -> pa.RecordBatch:
+        entity, term, first = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((term, entity))
+        entity, term, first = entity[order], term[order], first[order]
+        at = np.flatnonzero(np.concatenate([[True], (entity[1:] != entity[:-1]) | (term[1:] != term[:-1])]))
+        docs = np.diff(np.append(at, len(entity)))
+        return pa.RecordBatch.from_arrays([pa.array(entity[at]), pa.array(term[at]), pa.array(docs), pa.array(np.add.reduceat(first, at))], names=["entity", "term", "docs", "texts"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = np.unique(batch.column(2).slice(i, 1).flatten().field("term").to_numpy(zero_copy_only=False))
+            first = np.full(len(own), int(batch.column(0)[i].as_py()), np.int64)
+            for entity in batch.column(1)[i].as_py() if len(own) else ():
+                held.append((np.full(len(own), entity, np.int64), own, first))
+                size += len(own)
+                if size >= 1_000_000:
+                    yield give()
+                    held, size = [], 0
+    if size:
+        yield give()
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,12 +201,24 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give()
 
 
-def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def near_entities(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(_row, first, entities, words) of the documents that hold entities of at least
+    ``support`` different texts, with these; ``first`` of the copies of a text."""
+    held = found.filter("size(entities) > 0").select("_row", "_copy", "entities")
+    each = held.select("_row", "_copy", F.explode("entities").alias("entity"))
+    often = each.select("entity", "_copy").distinct().groupBy("entity").count().filter(F.col("count") >= support).select("entity")
+    rows = each.join(often, "entity").groupBy("_row").agg(F.collect_list("entity").alias("entities"))
+    firsts = held.groupBy("_copy").agg(F.min("_row").alias("_row")).select("_row", F.lit(True).alias("first"))
+    rows = rows.join(firsts, "_row", "left").select("_row", F.coalesce("first", F.lit(False)).alias("first"), "entities")
+    return rows.join(found.select("_row", "words"), "_row")
+
+
+def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, removed): pairs whose PMI exceeds the thresholds."""
     total = max(found.count(), 1)
-    near = found.select("_row", F.explode("near").alias("x")).select("_row", "x.entity", "x.term", "x.context").distinct()
-    pairs = near.groupBy("entity", "term", "context").agg(F.count_distinct("_row").alias("docs")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("both")).filter(F.col("contexts") >= support)
-    entities = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    pairs = arrow_map(near.select("first", "entities", "words"), _together, "entity long, term long, docs long, texts long")
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("docs").alias("both"), F.sum("texts").alias("texts")).filter(F.col("texts") >= support)
+    entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     counted = arrow_map(docs.select("text"), _frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
     joined = pairs.join(entities, "entity").join(counted, "term")
     ic = -F.log2(F.col("with_entity") / F.lit(total))
@@ -190,18 +227,19 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, genera
     return joined.filter((ic > 0) & (pmi >= generalise * ic)).select("entity", "term", (pmi >= remove * ic).alias("removed"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per document: the base counts and digest, and ``found``: all spans
     (start, kind number, stop, removed), sorted."""
     base = keyed(docs, id_col, text_col)
-    found = stage(arrow_map(base.select("doc_id", "_did", "_key", "text"), _scan(reach), FOUND), "entities")
-    telling = disclosing(found, base, support, generalise, remove)
-    near = found.select("_row", F.explode("near").alias("x")).select("_row", "x.entity", "x.term", "x.start", "x.stop")
-    terms = near.join(telling, ["entity", "term"]).groupBy("_row", "start", "stop").agg(F.max("removed").alias("removed"))
+    found = stage(arrow_map(base.select("doc_id", "_did", "_key", "text"), _scan, FOUND), "entities")
+    near = stage(near_entities(found, support), "near-entities")
+    telling = stage(disclosing(found, near, base, support, generalise, remove), "telling")
+    words_ = near.select("_row", F.explode("entities").alias("entity"), "words").select("_row", "entity", F.explode("words").alias("x")).select("_row", "entity", "x.term", "x.start", "x.stop")
+    terms = words_.join(telling, ["entity", "term"]).groupBy("_row", "start", "stop").agg(F.max("removed").alias("removed"))
     terms = terms.groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "stop", "removed")).alias("terms"))
     joined = found.join(terms, "_row", "left")
     own = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.lit(True).alias("removed")))
-    return joined.withColumn("found", F.array_sort(F.when(F.col("terms").isNull(), own).otherwise(F.concat(own, "terms")))).drop("base", "near", "terms", "_row")
+    return joined.withColumn("found", F.array_sort(F.when(F.col("terms").isNull(), own).otherwise(F.concat(own, "terms")))).drop("base", "words", "entities", "_copy", "terms", "_row")
 
 
 def redact(text: str, spans: list) -> str:

@@ -140,6 +140,28 @@ def test_disclosing_terms(spark):
     assert not any("<removed>" in x.text for x in pii.sanitise(docs.filter("doc_id < 202")).collect())
 
 
+def test_terms_of_whole_documents(spark):
+    """A telling term far from its entity, numeric or short, wherever it occurs there."""
+    r = random.Random(2)
+    filler = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    data = [(i, filler(60)) for i in range(200)]
+    data += [(i, f"q.w@ex.org {filler(40)} 4711-08 {filler(20)} 王伟 é {filler(9)} QW 4711-08 - end") for i in range(200, 205)]
+    data += [(i, f"a.b@ex.org {filler(30)} Zedekiah x Zedekiah") for i in (205, 206)]  # two documents, three places
+    data += [(i, f"c.d@ex.org {filler(30)} Ottoline") for i in (207, 208)]
+    data += [(i, data[-1][1]) for i in range(209, 213)]  # copies of one of two texts
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    out = {x.doc_id: x.text for x in pii.sanitise(docs).collect()}
+    for i, t in data:
+        if 200 <= i < 205:
+            want = t.replace("q.w@ex.org", "<email>")
+            for x in ("4711-08", "王伟", "é", "QW", "end"):
+                want = want.replace(f" {x}", " <removed>")
+            assert out[i] == want
+    assert all(out[i] == t for i, t in data if i < 200) and "Zedekiah x Zedekiah" in out[205] and "Ottoline" in out[208]
+    got = pii.terms("éa Bb, - x@y.org 12", [(9, 0, 16)])
+    assert [x.tolist() for x in got[1:]] == [[0, 3, 17], [2, 6, 19]]
+
+
 def test_pii_odd(spark, odd):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
