@@ -34,7 +34,8 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_ord, read_id, mate, seq): the documents as reads of up to 150 bases."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", dna.text_to_dna(F.col("text")).alias("seq")).filter("length(seq) > 0")
     cut = docs.select("doc_id", "seq", F.explode(F.expr(f"sequence(0, (length(seq) - 1) div {TILE})")).alias("tile"))
-    ord_ = F.col("doc_id") * 1000 + F.col("tile")
+    # tiles from 1000 on would have the ids of the next document: theirs are negative, with room for any text
+    ord_ = F.when(F.col("tile") < 1000, F.col("doc_id") * 1000 + F.col("tile")).otherwise(-(F.col("doc_id") * (1 << 24) + F.col("tile")))
     return cut.select(ord_.alias("read_ord"), F.concat(F.lit("r"), ord_.cast("string")).alias("read_id"), F.lit(0).alias("mate"), F.substring("seq", F.col("tile") * TILE + 1, F.lit(TILE)).alias("seq"))
 
 
