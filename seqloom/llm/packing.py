@@ -12,7 +12,8 @@ is left is cut at powers of two, which need no padding.
 
 Ids: ``tokenizers`` with a JSON file; or, for files that exist in both forms, the
 same vocabulary as ranks through ``tiktoken`` with equal ids, several times
-faster.  Strings that look like special tokens are ordinary text.
+faster, given the special tokens that the JSON file adds.  Their strings in a text
+are these tokens, as ``tokenizers`` has it unless told otherwise.
 
 Defined cases: null and empty texts are the end id alone; null doc_ids stay null;
 repeated rows are packed once each; an empty table gives an empty result; columns
@@ -22,8 +23,9 @@ beyond id and text are not read.  sequence_id is unique over the whole result.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import numpy as np
@@ -140,8 +142,14 @@ def pack_items(lengths: list[int], window: int, min_cut: int = MIN_CUT) -> list[
     return out
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The tokens that a JSON file adds to its vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        return {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str, special: tuple = ()):
     """texts -> one array of ids for each."""
     if path.endswith(".tiktoken"):
         import public_tokenizers
@@ -149,12 +157,11 @@ def _encoder(path: str):
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [np.array(encoding.encode_ordinary(x), np.uint32) for x in texts]
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
+        return lambda texts: [np.array(encoding.encode(x, allowed_special="all", disallowed_special=()) if any(t in x for t, _ in special) else encoding.encode_ordinary(x), np.uint32) for x in texts]
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda texts: [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -162,9 +169,9 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _run(path: str, window: int, end: int):
+def _run(path: str, window: int, end: int, special: tuple):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
+        encode = _encoder(path, special)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 33
         rows: list[tuple] = []
@@ -214,16 +221,17 @@ def _run(path: str, window: int, end: int):
     return pack
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, special: Mapping[str, int] | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is the path of a vocabulary file, present on every worker.
+    ``tokenizer`` is the path of a vocabulary file, present on every worker;
+    ``special`` are the special tokens of one of ranks (see ``special_tokens``).
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return arrow_map(base, _run(tokenizer, window, end), RESULT)
+    return arrow_map(base, _run(tokenizer, window, end, tuple((special or {}).items())), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), special=special_tokens(public_tokenizers.path("byte_bpe_50k.json")))
