@@ -6,9 +6,10 @@
    shuffle, so a host with a third of all rows costs one row for each task.
 3. The hosts' failure rates give an empirical beta prior by the method of
    moments; each host's rate is shrunk to the posterior mean.
-4. A host whose shrunk rate exceeds ``threshold`` is rejected, and the verdict is
-   joined back to its documents.  Only numbers travel, never texts; Spark splits
-   a hot host's partition of that join.
+4. A host is rejected if ``threshold`` lies ``DEVIATIONS`` posterior standard
+   deviations below its shrunk rate: beyond doubt more of its documents fail than
+   that share, whatever their number.  The verdict is joined back to its documents;
+   only numbers travel, never texts, and Spark splits a hot host's partition.
 
 A document is kept if it passes the base rules and its host is not rejected.
 
@@ -20,13 +21,13 @@ their 64-bit XXH64.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import stage, table
 
-#: Only a host almost all of whose documents fail takes its clean ones along.
-THRESHOLD = 0.8
+#: Only a host most of whose documents fail, surely, takes its clean ones along.
+THRESHOLD, DEVIATIONS = 0.5, 3.0
 SYMBOLS = "#*$%&|<>"
 #: Pseudo-counts of the prior: bounds on alpha + beta.
 WEIGHT = (2.0, 10_000.0)
@@ -47,33 +48,37 @@ _COVERED = "aggregate(transform(p, (x, k) -> CASE WHEN k + 1 < size(p) THEN leas
 #: Repeated words from ``words``.
 _REPEATED = _let("windows", _WINDOWS, f"CASE WHEN size(array_distinct(windows)) = size(windows) THEN 0L ELSE {_let('s', _SORTED, _let('p', _AGAIN, _COVERED))} END")
 _COUNTS = _let("words", _WORDS, f"struct(size(words) AS n_words, {_REPEATED} AS n_repeat_words)")
-_PASSED = _let("words", _WORDS, f"size(words) >= 50 AND 100 * {_REPEATED} <= 50 * size(words)")
 
 
-def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """doc_id, host, the base counts, ``base_failed`` and ``failed`` (any rule)."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+def _rules(base: DataFrame) -> DataFrame:
+    """``base`` with the base counts, base_failed and failed, from _text."""
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = (
-        base.withColumn("_counts", F.expr(_COUNTS))
-        .withColumn("_lines", lines)
-        .select(
-            "doc_id",
-            "host",
-            F.col("_counts.n_words").cast("long").alias("n_words"),
-            F.length(F.translate("_text", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
-            (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            F.col("_counts.n_repeat_words").cast("long").alias("n_repeat_words"),
-            F.size("_lines").cast("long").alias("n_lines"),
-        )
-    )
+    counted = base.withColumn("_counts", F.expr(_COUNTS)).withColumn("_lines", lines)
+    counted = counted.withColumns(
+        {
+            "n_words": F.col("_counts.n_words").cast("long"),
+            "word_chars": F.length(F.translate("_text", " \t\n\x0b\f\r", "")).cast("long"),
+            "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "n_repeat_words": F.col("_counts.n_repeat_words").cast("long"),
+            "_n_lines": F.size("_lines").cast("long"),
+        }
+    ).drop("_text", "_counts", "_lines")
     failed = counted.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    return failed.withColumn("failed", F.expr("base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 3 * n_lines")).drop("n_lines")
+    return failed.withColumn("failed", F.expr("base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 3 * _n_lines")).drop("_n_lines")
+
+
+def document_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """doc_id, host, the base counts, ``base_failed`` and ``failed`` (any rule)."""
+    return _rules(docs.select(F.col(id_col).cast("long").alias("doc_id"), _whole(docs[host_col]).alias("host"), _whole(docs[text_col]).alias("_text")))
+
+
+def _whole(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
 def host_verdicts(judged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """host, n_docs, n_failed, shrunk_rate, rejected."""
+    """host, n_docs, n_failed, shrunk_rate, rejected; from host and failed."""
     hosts = stage(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")), "hosts")
     rate = F.col("n_failed") / F.col("n_docs")
     # one row: the moments of the hosts' rates
@@ -82,7 +87,8 @@ def host_verdicts(judged: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     low, high = WEIGHT
     weight = min(max(mean * (1 - mean) / var - 1, low), high) if var > 0 else high
     shrunk = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight))
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("rejected", F.col("shrunk_rate") > threshold)
+    spread = F.sqrt(F.col("shrunk_rate") * (1 - F.col("shrunk_rate")) / (F.col("n_docs") + F.lit(weight + 1)))
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("rejected", F.col("shrunk_rate") - DEVIATIONS * spread > threshold)
 
 
 def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -96,21 +102,14 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    The rules are judged in the same pass that filters; only the hosts' verdicts,
-    one row each, are joined to the documents.  Null-safe, and columns of ``docs``
-    may have any name.
+    The rules are judged once: rows and their verdicts are written to the shared
+    folder, whence those that pass are read when the hosts are known.  A struct
+    keeps the columns of ``docs`` apart, whatever their names.
     """
-    judged = document_rules(docs, id_col, text_col, host_col)
-    hosts = host_verdicts(judged.select("host", "failed"), threshold).filter("rejected").select(F.col("host").alias("_rejected_host"))
-    passing = _passing(docs, text_col)
-    return passing.join(hosts, F.coalesce(passing[host_col].cast("string"), F.lit("")) == hosts["_rejected_host"], "left_anti")
-
-
-def _passing(docs: DataFrame, text_col: str) -> DataFrame:
-    """The documents that pass the base rules; a struct keeps their columns apart."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    wide = row.withColumn("_text", F.coalesce(F.col("_row")[text_col].cast("string"), F.lit("")))
-    return wide.filter(F.expr(_PASSED)).select("_row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), _whole(docs[host_col]).alias("host"), _whole(docs[text_col]).alias("_text"))
+    judged = stage(_rules(rows).select("_row", "host", "base_failed", "failed"), "judged-rows")
+    hosts = host_verdicts(judged.select("host", "failed"), threshold).filter("rejected").select("host")
+    return judged.filter("not base_failed").join(hosts, "host", "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +132,7 @@ f AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_wo
 h AS (SELECT host, count(*) AS n, sum(failed::INT) AS bad FROM f GROUP BY host),
 m AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h),
 p AS (SELECT mean, CASE WHEN var > 0 THEN least(greatest(mean * (1 - mean) / var - 1, 2), 10000) ELSE 10000 END AS weight FROM m),
-v AS (SELECT host, (bad + mean * weight) / (n + weight) > 0.8 AS rejected FROM h, p)
+k AS (SELECT host, n, weight, (bad + mean * weight) / (n + weight) AS rate FROM h, p),
+v AS (SELECT host, rate - 3 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 0.5 AS rejected FROM k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM f JOIN v ON f.host = v.host
 """
