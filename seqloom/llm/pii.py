@@ -1,8 +1,14 @@
 """Information-theoretic sanitisation of personal data.
 
 Protected entities are the e-mail addresses, IP addresses, card and telephone
-numbers of the texts.  Terms are the words with a letter or digit, outside of
-entities.  For an entity e and a term t of its documents, with N documents,
+numbers of the texts, and *identifiers*: runs of letters and digits (keys, tokens)
+that carry so much information that chance did not write them.  That is measured by
+the corpus: -log2 p(b | a) of each pair of bytes, summed over the different pairs of
+a run, reaches ``IDENTIFIER`` bits, and ``RATE`` bits for each of its bytes.  An
+identifier tells itself, so it is a term span that is removed.
+
+Terms are the words with a letter or digit, outside of entities.  For an entity e
+and a term t of its documents, with N documents,
 
     IC(e)     = -log2(n(e) / N)
     PMI(e; t) =  log2(n(e, t) * N / (n(e) * n(t)))
@@ -13,9 +19,9 @@ different texts with e (copies of a text count once) is *generalised* from
 ``GENERALISE`` * IC(e) and *removed* from ``REMOVE`` * IC(e) on, wherever it
 occurs in documents that hold e.
 
-One pass finds entities and the words of documents that hold any, another counts
-the documents of every word, and a third those of every entity and word, both
-summed within tasks before the shuffle.  Entities of fewer than ``SUPPORT`` texts
+One pass counts pairs of bytes (at most 2**16 sums), one finds entities and the
+words of documents that hold any, another counts the documents of every word, and
+the last those of every entity and word, all summed within tasks before the shuffle.  Entities of fewer than ``SUPPORT`` texts
 can have no such term and are left out of it.  Texts are not shuffled by ``find``.
 
 Defined cases: null texts count as empty; null doc_ids stay; repeated rows each
@@ -42,12 +48,15 @@ from ._common import _LOWER, arrow_map, chunks, keyed, keyed_rows, rewrite, stag
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
 GENERALISE, REMOVE = 0.9, 0.98
+#: Bits that make a run an identifier: as a whole, and for each byte.
+IDENTIFIER, RATE = 110.0, 4.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_RUN = re.compile(r"[A-Za-z0-9_-]{15,}")
 _ALNUM = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PAIR = "0246813579"  # Luhn: twice a digit, its digits summed
@@ -90,6 +99,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def pair_bits(counts: np.ndarray) -> np.ndarray:
+    """-log2 p(b | a) for all pairs of bytes from their counts, one added to each."""
+    counts = counts.reshape(256, 256) + 1.0
+    return -np.log2(counts / counts.sum(1, keepdims=True)).ravel()
+
+
+def identifiers(text: str, spans: list[tuple[int, int, int]], bits: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind number of terms, stop) of the identifiers that touch no span."""
+    out = []
+    for m in _RUN.finditer(text):
+        low = np.frombuffer(m.group().encode().lower(), np.uint8).astype(np.int64)
+        told = bits[np.unique(low[:-1] * 256 + low[1:])].sum()
+        if told >= IDENTIFIER and told >= RATE * len(low) and all(b <= m.start() or m.end() <= a for a, _, b in spans):
+            out.append((m.start(), 4, m.end()))
+    return out
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n): pairs of bytes of the lower-cased texts, summed over a task."""
+    sums = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for part in chunks(batch):
+            raw, offsets = text_bytes(part.column(0))
+            low = _LOWER[raw].astype(np.uint16)
+            code = (low[:-1] << 8) | low[1:]
+            inside = np.ones(len(code), bool)
+            cuts = offsets[1:-1]
+            inside[cuts[(cuts > 0) & (cuts < len(low))] - 1] = False
+            sums += np.bincount(code[inside], minlength=1 << 16)
+    seen = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(sums[seen])], names=["pair", "n"])
+
+
+def information(docs: DataFrame) -> np.ndarray:
+    """``pair_bits`` of the corpus."""
+    counted = arrow_map(docs.select("text"), _pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = np.zeros(1 << 16)
+    for row in counted.collect():  # at most 2**16 rows, whatever the corpus
+        counts[row.pair] = row.n
+    return pair_bits(counts)
+
+
 def _hash(x: str) -> int:
     return xxhash.xxh64_intdigest(x.encode()) - (1 << 63)
 
@@ -119,31 +170,35 @@ def terms(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
-FOUND = "doc_id long, _did long, _key long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,stop:int>>, _copy long, entities array<long>, words array<struct<term:long,start:int,stop:int>>"
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    context = TaskContext.get()
-    row = (context.partitionId() if context else 0) << 33
-    for whole in batches:
-        for batch in chunks(whole):
-            counts, shas, bases, copies, entities, found = [], [], [], [], [], []
-            for text in batch.column(3).to_pylist():
-                spans = base_spans(text)
-                counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
-                shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())
-                bases.append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
-                copies.append(_hash(text))
-                entities.append(sorted({entity_of(text, x) for x in spans}))
-                found.append(terms(text, spans) if spans else terms("", []))
-            n = batch.num_rows
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["term", "start", "stop"])
-            near = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(np.arange(row, row + n)), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(shas, pa.string()), pa.array(bases, _SPAN), pa.array(copies, pa.int64()), pa.array(entities, pa.list_(pa.int64())), near],
-                names=["doc_id", "_did", "_key", "_row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "_copy", "entities", "words"],
-            )
-            row += n
+FOUND = "doc_id long, _did long, _key long, _row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, own array<struct<start:int,kind:int,stop:int>>, _copy long, entities array<long>, words array<struct<term:long,start:int,stop:int>>"
+
+
+def _scan(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 33
+        for whole in batches:
+            for batch in chunks(whole):
+                counts, shas, own, copies, entities, found = [], [], [], [], [], []
+                for text in batch.column(3).to_pylist():
+                    spans = base_spans(text)
+                    counts.append([sum(k == i for _, k, _ in spans) for i in range(4)])
+                    shas.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest())
+                    spans = sorted(spans + identifiers(text, spans, bits))
+                    own.append([{"start": a, "kind": k, "stop": b} for a, k, b in spans])
+                    copies.append(_hash(text))
+                    entities.append(sorted({entity_of(text, x) for x in spans}))
+                    found.append(terms(text, spans) if spans else terms("", []))
+                n = batch.num_rows
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["term", "start", "stop"])
+                near = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in found)]), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(np.arange(row, row + n)), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(shas, pa.string()), pa.array(own, _SPAN), pa.array(copies, pa.int64()), pa.array(entities, pa.list_(pa.int64())), near],
+                    names=["doc_id", "_did", "_key", "_row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "own", "_copy", "entities", "words"],
+                )
+                row += n
+
+    return run
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +286,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", suppor
     """One row per document: the base counts and digest, and ``found``: all spans
     (start, kind number, stop, removed), sorted."""
     base = keyed(docs, id_col, text_col)
-    found = stage(arrow_map(base.select("doc_id", "_did", "_key", "text"), _scan, FOUND), "entities")
+    found = stage(arrow_map(base.select("doc_id", "_did", "_key", "text"), _scan(information(base)), FOUND), "entities")
     near = stage(near_entities(found, support), "near-entities")
     telling = stage(disclosing(found, near, base, support, generalise, remove), "telling")
     words_ = near.select("_row", F.explode("entities").alias("entity"), "words").select("_row", "entity", F.explode("words").alias("x")).select("_row", "entity", "x.term", "x.start", "x.stop")
     terms = words_.join(telling, ["entity", "term"]).groupBy("_row", "start", "stop").agg(F.max("removed").alias("removed"))
     terms = terms.groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "stop", "removed")).alias("terms"))
     joined = found.join(terms, "_row", "left")
-    own = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.lit(True).alias("removed")))
-    return joined.withColumn("found", F.array_sort(F.when(F.col("terms").isNull(), own).otherwise(F.concat(own, "terms")))).drop("base", "words", "entities", "_copy", "terms", "_row")
+    own = F.transform("own", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.lit(True).alias("removed")))
+    return joined.withColumn("found", F.array_sort(F.when(F.col("terms").isNull(), own).otherwise(F.concat(own, "terms")))).drop("own", "words", "entities", "_copy", "terms", "_row")
 
 
 def redact(text: str, spans: list) -> str:
@@ -272,4 +327,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     kinds = F.array(*map(F.lit, KINDS))
     text = F.array_join(F.transform("found", lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"), F.size("found").cast("long").alias("n_spans"), F.size(F.filter("found", lambda x: x["kind"] == 4)).cast("long").alias("n_terms"))
