@@ -8,6 +8,7 @@ this process is used.  Staged tables are deleted when the application ends.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -159,14 +160,32 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+_lean = False
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers live on between stages, and
+    what they keep adds to their executor's memory."""
+    global _lean
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        if not _lean:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, instead of growing with what is freed
+            _lean = True
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     python_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # freed memory goes back to the system: workers live on between stages
-        pa.set_memory_pool(pa.system_memory_pool())
-        return fn(batches)
+        _give_back()
+        yield from fn(batches)
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
