@@ -140,6 +140,66 @@ def test_disclosing_terms(spark):
     assert not any("<removed>" in x.text for x in pii.sanitise(docs.filter("doc_id < 202")).collect())
 
 
+def plain_terms(rows, bits):
+    """Term spans (start, stop, removed) by id from whole counts: identifiers, and words that tell an entity."""
+    spans = {i: plain_spans(t) for i, t in rows}
+    spans = {i: spans[i] + pii.identifiers(t, spans[i], bits) for i, t in rows}
+    entities = {i: {pii.entity_of(t, x) for x in spans[i]} for i, t in rows}
+    places, words = {}, {}
+    for i, t in rows:
+        all_ = [(m.group().translate(LOWER), m.start(), m.end()) for m in WORD.finditer(t)]
+        words[i] = {w for w, _, _ in all_}
+        places[i] = [(w, a, b) for w, a, b in all_ if any(c.isalnum() for c in w) and all(b <= x or y <= a for x, _, y in spans[i])]
+    n, out = len(rows), {i: {(a, b): True for a, k, b in spans[i] if k == 4} for i, _ in rows}
+    with_entity = Counter(e for i in entities for e in entities[i])
+    with_term = Counter(w for i in words for w in words[i])
+    both, texts = Counter(), defaultdict(set)
+    for i, t in rows:
+        for e in entities[i]:
+            for w in {w for w, _, _ in places[i]}:
+                both[e, w] += 1
+                texts[e, w].add(t)
+    for i, _ in rows:
+        for w, a, b in places[i]:
+            for e in entities[i]:
+                ic = -math.log2(with_entity[e] / n)
+                pmi = math.log2(both[e, w] * n / (with_entity[e] * with_term[w]))
+                if len(texts[e, w]) >= 3 and ic > 0 and pmi >= 0.9 * ic:
+                    out[i][a, b] = out[i].get((a, b), False) or pmi >= 0.98 * ic
+    return {i: sorted((a, b, r) for (a, b), r in x.items()) for i, x in out.items()}
+
+
+def test_terms_by_brute_force(spark):
+    """PMI, information content and identifiers of a small corpus, counted in full."""
+    r = random.Random(8)
+    common = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta"]
+    people = [(f"p{k}.x@ex{k}.org", [f"Name{k}", f"case-{k}", r.choice(common)]) for k in range(6)]
+    rows = []
+    for i in range(240):
+        words = [r.choice(common) for _ in range(r.randint(20, 60))]
+        if i % 3 == 0:
+            mail, own = r.choice(people)
+            words[r.randrange(len(words))] = mail
+            for w in own:
+                words[r.randrange(len(words))] = w if r.random() < 0.8 else words[0]
+        if i % 17 == 0:
+            words.insert(3, 'token = "%s"' % "".join(r.choice("0123456789abcdef") for _ in range(40)))
+        if i % 29 == 0:
+            words.append(r.choice(["Name1", "case-2"]))
+        rows.append((i, " ".join(words)))
+    rows += [(240 + k, rows[k][1]) for k in range(5)]  # copies
+    rows += [(250, "z" * 500 + " abababababababababababababababababab")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    counts = Counter(x for _, t in rows for x in zip(t.translate(LOWER).encode(), t.translate(LOWER).encode()[1:]))
+    table = np.zeros((256, 256))
+    for (a, b), n in counts.items():
+        table[a, b] = n
+    want = plain_terms(rows, pii.pair_bits(table))
+    got = {x.doc_id: sorted((s.start, s.stop, s.removed) for s in x.found if s.kind == 4) for x in pii.find(docs).collect()}
+    assert got == want
+    assert any(not r for x in want.values() for _, _, r in x) and want[250] == [] and sum(b - a == 40 for x in want.values() for a, b, _ in x) == 16
+
+
 def test_terms_of_whole_documents(spark):
     """A telling term far from its entity, numeric or short, wherever it occurs there."""
     r = random.Random(2)
@@ -425,6 +485,21 @@ def test_hosts(spark):
     assert {r.doc_id for r in host_quality.quality_filter(docs).collect()} == kept
 
 
+def test_rejected_hosts_match_sql(spark, duck):
+    """Hosts that stand out are rejected with their clean documents, as in SQL; too few documents convict none."""
+    good, bad = " ".join(f"word{i}" for i in range(80)), "spam spam spam"
+    data = [(f"host{h}", good if i % 10 else bad) for h in range(12) for i in range(40)]
+    data += [("junk", bad if i % 8 else good) for i in range(80)] + [("half", bad if i % 2 else good) for i in range(60)] + [("few", bad), ("few", good), (None, good), ("", good)]
+    data = [(i, t, h) for i, (h, t) in enumerate(data)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    duck.register("documents_fixture", docs.toPandas())
+    want = {r[0]: r[-1] for r in duck.execute("SELECT doc_id, kept FROM (" + host_quality.ORACLE.replace("FROM documents", "FROM documents_fixture") + ")").fetchall()}
+    got = {r.doc_id: r.kept for r in host_quality.host_quality(docs).collect()}
+    assert got == want
+    assert not any(got[i] for i, _, h in data if h == "junk") and all(got[i] for i, t, h in data if h != "junk" and t == good)
+    assert {r.doc_id for r in host_quality.quality_filter(docs).collect()} == {i for i in got if got[i]}
+
+
 def test_quality_odd(spark, odd):
     judged = host_quality.host_quality(odd)
     assert judged.count() == odd.count()
@@ -574,7 +649,6 @@ def test_packing(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
     rows = QUERIES["op9_packing"](spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == set(texts)
@@ -588,16 +662,18 @@ def test_packing_odd(spark, odd):
     assert sum(r.doc_tokens == 1 for r in rows) == 3 and {r.doc_id for r in rows} == {r.doc_id for r in odd.collect()}
 
 
-def test_ranks_are_the_json_vocabulary():
-    import tiktoken
+def test_ranks_are_the_json_vocabulary(spark):
+    """The query's ids are those of the unmodified tokenizer, special strings included."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert special == {"<|endoftext|>": 50256}
+    encode = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), tuple(special.items()))
     r = random.Random(9)
     for _ in range(1000):
-        t = "".join(r.choice([*LETTERS, "<|endoftext|>"]) for _ in range(r.randint(0, 60)))
-        assert tokenizer.encode(t, add_special_tokens=False).ids == other.encode_ordinary(t)
+        t = "".join(r.choice([*LETTERS, "<|endoftext|>", "<|end"]) for _ in range(r.randint(0, 60)))
+        assert encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, "hi <|endoftext|> yo")], "doc_id bigint, text string")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), special=special).collect()
+    assert sum(x.length for x in got) == got[0].doc_tokens == 5
