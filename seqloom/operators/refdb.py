@@ -56,9 +56,8 @@ def frequency_table(counts: DataFrame, cutoff: DataFrame) -> DataFrame:
 
 def screening_words(refs: DataFrame) -> DataFrame:
     """Distinct 16-mers of both strands."""
-    forward = kmers(refs.select("seq"), "seq", SCREEN, "pos", code=False).select("kmer").distinct()
-    both = forward.select(F.explode(F.array("kmer", dna.reverse_complement(F.col("kmer")))).alias("kmer"))
-    return both.select(dna.kmer_code(F.col("kmer")).alias("word")).distinct()
+    forward = kmers(refs.select("seq"), "seq", SCREEN, "pos", reverse=True).select("kmer", "reverse")
+    return forward.select(F.explode(F.array("kmer", "reverse")).alias("word")).distinct()
 
 
 def word_bitmaps(words: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kmers import kmers
@@ -27,10 +27,10 @@ def prescreen(mates: DataFrame, words: DataFrame) -> DataFrame:
     """Mates with an unmasked frame of six consecutive known 16-mers keep their
     sequence, others become empty."""
     found = kmers(mates.select("read_ord", "mate", "seq"), "seq", SCREEN, "pos").withColumnRenamed("kmer", "word").join(words, "word", "left_semi")
-    # positions are dense where pos - row_number stays the same; with six in a row
-    # the 21 bases under them are unmasked
-    order = Window.partitionBy("read_ord", "mate").orderBy("pos")
-    runs = found.withColumn("_run", F.col("pos") - F.row_number().over(order)).groupBy("read_ord", "mate", "_run").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= FRAME)
-    passed = runs.select("read_ord", "mate").distinct().withColumn("_passed", F.lit(True))
+    # positions p and p + 5 that are five apart in the sorted list hold six in a row;
+    # then the 21 bases under them are unmasked
+    at = found.groupBy("read_ord", "mate").agg(F.sort_array(F.collect_list("pos")).alias("_at"))
+    runs = at.filter(F.exists(F.sequence(F.lit(0), F.greatest(F.size("_at") - FRAME, F.lit(0))), lambda i: F.get("_at", i + (FRAME - 1)) == F.get("_at", i) + (FRAME - 1)))
+    passed = runs.select("read_ord", "mate").withColumn("_passed", F.lit(True))
     kept = mates.join(passed, ["read_ord", "mate"], "left")
     return kept.withColumn("seq", F.when(F.col("_passed"), F.col("seq")).otherwise("")).select(*mates.columns)

@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dna
 from ..operators.kmers import kmers
 from ..operators.params import SEED
 from .shipping import ship
@@ -20,8 +19,8 @@ HIT_BYTES, BASE_BYTES = 12, 24
 def hit_upper_bound(mates: DataFrame, table: DataFrame, cutoff: DataFrame) -> DataFrame:
     """(read_ord, hits): over all k-mers of both strands, 2**bin of the frequency
     table, or 2**cutoff for those it lacks (a left join with a default)."""
-    forward = kmers(mates.select("read_ord", "seq"), "seq", SEED, "pos", code=False)
-    both = forward.select("read_ord", F.explode(F.array("kmer", dna.reverse_complement(F.col("kmer")))).alias("kmer")).withColumn("kmer", dna.kmer_code(F.col("kmer")))
+    forward = kmers(mates.select("read_ord", "seq"), "seq", SEED, "pos", reverse=True)
+    both = forward.select("read_ord", F.explode(F.array("kmer", "reverse")).alias("kmer"))
     bounded = both.join(table, "kmer", "left").join(F.broadcast(cutoff))
     return bounded.groupBy("read_ord").agg(F.sum(F.expr("shiftleft(1L, coalesce(bin, cutoff))")).alias("hits"))
 

@@ -10,6 +10,13 @@ from ..functions import dna
 TILE = 150
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores are dealt to all; more files are
+    left where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref_ord, ref_id, seq) of the benchmark passages."""
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("ref_ord"), F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("ref_id"), dna.text_to_dna(F.col("text")).alias("seq"))
@@ -32,11 +39,11 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_ord, read_id, mate, seq): the documents as reads of up to 150 bases."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", dna.text_to_dna(F.col("text")).alias("seq")).filter("length(seq) > 0")
-    cut = docs.select("doc_id", "seq", F.explode(F.expr(f"sequence(0, (length(seq) - 1) div {TILE})")).alias("tile"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", dna.text_to_dna(F.col("text")).alias("seq"))
+    cut = docs.select("doc_id", F.posexplode(F.regexp_extract_all("seq", F.lit(f".{{1,{TILE}}}"), F.lit(0))).alias("tile", "seq"))
     # tiles from 1000 on would have the ids of the next document: theirs are negative, with room for any text
     ord_ = F.when(F.col("tile") < 1000, F.col("doc_id") * 1000 + F.col("tile")).otherwise(-(F.col("doc_id") * (1 << 24) + F.col("tile")))
-    return cut.select(ord_.alias("read_ord"), F.concat(F.lit("r"), ord_.cast("string")).alias("read_id"), F.lit(0).alias("mate"), F.substring("seq", F.col("tile") * TILE + 1, F.lit(TILE)).alias("seq"))
+    return cut.select(ord_.alias("read_ord"), F.concat(F.lit("r"), ord_.cast("string")).alias("read_id"), F.lit(0).alias("mate"), "seq")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +62,5 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ref_ord, seq): the first 30 bases of a reference, repeated up to 200 times."""
-    return refs(spark, sf_dir).select("ref_ord", F.expr("repeat(substring(seq, 1, 30), element_at(array(1, 17, 20, 129, 200), cast(ref_ord % 5 + 1 AS int)))").alias("seq"))
+    """(ref_ord, seq): whole references, each up to 200 times in a row."""
+    return refs(spark, sf_dir).select("ref_ord", F.expr("repeat(seq, element_at(array(1, 17, 20, 129, 200), cast(ref_ord % 5 + 1 AS int)))").alias("seq"))

@@ -41,7 +41,7 @@ _TILES = f"""docs AS (SELECT doc_id, {_dna('text')} AS seq FROM documents),
 tiles AS (SELECT doc_id * 1000 + t AS read_ord, 'r' || (doc_id * 1000 + t) AS read_id, 0 AS mate, substr(seq, t::INT * 150 + 1, 150) AS seq FROM (SELECT doc_id, seq, unnest(range(0, (length(seq) - 1) // 150 + 1)) AS t FROM docs WHERE length(seq) > 0))"""
 _PAIRS = "pairs AS (SELECT a.read_ord, 'r' || a.read_ord || '/1' AS id1, 'r' || a.read_ord || '/2' AS id2, a.seq AS mate1, b.seq AS mate2 FROM shots a JOIN shots b ON a.read_ord % 2 = 0 AND b.read_ord = a.read_ord + 1)"
 _MATES = "mates AS (SELECT read_ord, 'r' || read_ord AS read_id, 0 AS mate, mate1 AS seq FROM pairs UNION ALL SELECT read_ord, 'r' || read_ord, 1, mate2 FROM pairs)"
-_REPEATS = "reps AS (SELECT ref_ord, repeat(substr(seq, 1, 30), [1, 17, 20, 129, 200][ref_ord % 5 + 1]) AS seq FROM refs)"
+_REPEATS = "reps AS (SELECT ref_ord, repeat(seq, [1, 17, 20, 129, 200][ref_ord % 5 + 1]) AS seq FROM refs)"
 _SHOT_BASE = f"{_REFS}, {_CUTS}, {_SHOTS}"
 _PAIR_BASE = f"{_SHOT_BASE}, {_PAIRS}, {_MATES}"
 

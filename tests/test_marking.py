@@ -99,6 +99,34 @@ def test_prescreen_keeps_marks(spark, data):
     assert sorted(mark(seed_hits(screened, seeds)).collect()) == sorted(mark(seed_hits(m, seeds)).collect())
 
 
+def test_codes_by_hand(spark):
+    """Codes and reverse complements of odd sequences, other columns and masks included."""
+    from seqloom.operators import kmers
+
+    r = random.Random(3)
+    data = [(i, "".join(r.choice("ACGTACGTACGTN") for _ in range(r.choice([0, 1, 20, 21, 22, 300]))), "x") for i in range(60)] + [(60, None, None), (61, "acgu" * 20, "y"), (62, "é" * 30, "z")]
+    df = spark.createDataFrame(data, "read_ord bigint, seq string, kind string").repartition(3)
+
+    def code(x):
+        return sum("ACGT".index(c) << (2 * j) for j, c in enumerate(x))
+
+    for k in (1, 2, 16, 21, 31):
+        want = sorted((i, kind, p, code(s[p : p + k]), code(s[p : p + k].translate(RC)[::-1])) for i, s, kind in data for p in range(len(s or "") - k + 1) if set(s[p : p + k]) <= set("ACGT"))
+        assert sorted(tuple(x) for x in kmers.kmers(df, k=k, reverse=True).select("read_ord", "kind", "pos", "kmer", "reverse").collect()) == want
+    assert kmers.kmers(df.limit(0)).count() == 0
+
+
+def test_long_sequence():
+    """Time and memory follow the length: slices overlap, and none loses a k-mer."""
+    from seqloom.operators import kmers
+
+    digits = np.random.default_rng(0).integers(0, 4, 5 * kmers.SLICE + 17).astype(np.uint8)
+    got = list(kmers._cut(digits, np.array([0, 10, len(digits)]), 21))
+    assert max(len(x[0]) for x in got) <= kmers.SLICE
+    seq, at, code = (np.concatenate(x) for x in zip(*got))
+    assert set(seq) == {1} and (at == np.arange(len(digits) - 10 - 20)).all() and (code == kmers.codes(digits[10:], 21)).all()
+
+
 def test_empty(spark):
     refs = spark.createDataFrame([], "ref_ord bigint, seq string")
     reads = spark.createDataFrame([(0, "r", 0, "ACGT"), (1, "s", 0, None)], "read_ord bigint, read_id string, mate int, seq string")
