@@ -6,9 +6,12 @@ depth, digit ratio, entropy, parameters, and statistics of the host's suffix.
 
 Labels: an own label column, or else the rules' verdicts.  The trees are fitted on
 the driver to at most ``SAMPLE`` distinct labelled URLs, those with the least hash
-(a sample that does not depend on partitions); all URLs are judged, in Arrow batches.
+(a sample that does not depend on partitions; a threshold on the hash leaves little
+more than these to be sent); all URLs are judged, in Arrow batches.
 
 The suffix statistics are counted over all labelled pages and joined to the URLs.
+They are kept by ``FOLDS`` folds of the URLs, and a URL that the trees are fitted to
+has them without its own fold, so that no label is a feature of itself.
 Suffixes of over one in ``HOT`` of the pages to be judged, fewer than ``HOT`` of a
 kind by that, go with the function; the others are joined through a shuffle.
 
@@ -35,6 +38,7 @@ from ._common import arrow_map, stage, table
 SAMPLE = 20_000
 HOT = 1_000
 PRIOR = 10.0
+FOLDS = 5
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,6 +78,11 @@ class Suffixes:
                 seen[1] += 1
         return cls.of(tables, float(blocked.mean()) if len(blocked) else 0.0, prior)
 
+    @classmethod
+    def without(cls, tables: Sequence[dict[str, Sequence[Sequence[int]]]], fold: int, mean: float) -> Suffixes:
+        """From counts by fold, the fold's own left out."""
+        return cls.of([{k: tuple(sum(x) - x[fold] for x in v) for k, v in t.items()} for t in tables], mean)
+
     @classmethod
     def of(cls, tables: Sequence[dict[str, Sequence[int]]], mean: float, prior: float = PRIOR) -> Suffixes:
         """From (blocked, seen) by last label, by the two last and by first segment."""
@@ -168,12 +177,18 @@ class Model:
     constant: str = "allow"
 
     @classmethod
-    def fit(cls, rows: Sequence[tuple[str, str, str]], blocked: Sequence[bool], suffixes: Suffixes | None = None) -> Model:
+    def fit(cls, rows: Sequence[tuple[str, str, str]], blocked: Sequence[bool], suffixes: Suffixes | None = None, folds: Sequence[int] | None = None, others: Sequence[Suffixes] = ()) -> Model:
+        """``others[f]`` are the suffixes for rows of fold f, from all other folds;
+        without them, those of the rows themselves are taken."""
         y = np.array(blocked, float)
-        suffixes = suffixes or Suffixes.fit([(h, p) for _, h, p in rows], y)
+        if suffixes is None:
+            folds = [i % FOLDS for i in range(len(rows))]
+            own = [(h, p) for _, h, p in rows]
+            suffixes = Suffixes.fit(own, y)
+            others = [Suffixes.fit([r for r, g in zip(own, folds) if g != f], y[np.array(folds) != f]) for f in range(FOLDS)] if rows else []
         if len(set(blocked)) < 2:
             return cls(suffixes, None, "block" if len(y) and y[0] else "allow")
-        return cls(suffixes, BoostedTrees().fit(np.array([features(*r, suffixes) for r in rows], float), y))
+        return cls(suffixes, BoostedTrees().fit(np.array([features(*r, others[f]) for r, f in zip(rows, folds)], float), y))
 
     def blocks(self, rows: Sequence[tuple[str, str, str]], suffixes: Suffixes | None = None) -> np.ndarray:
         if self.trees is None or not len(rows):
@@ -207,13 +222,28 @@ def suffix_keys(host: Column, path: Column) -> list[Column]:
     return [F.substring_index(name, ".", -1), F.substring_index(name, ".", -2), F.substring(F.substring_index(F.expr("substring(path, 2)"), "/", 1), 1, 16)]
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def suffix_counts(judged: DataFrame) -> DataFrame:
-    """(kind, suffix, blocked, seen, open) over all pages: those labelled "block", those
-    labelled, and those without a rule."""
+    """(kind, suffix, blocked, seen, open, by_fold) over all pages: those labelled
+    "block", those labelled, those without a rule, and the first two by fold."""
     label = F.coalesce("label", "by_rule")
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), k.alias("suffix")) for i, k in enumerate(suffix_keys(F.col("host"), F.col("path"))))))
-    one = judged.select(label.eqNullSafe("block").cast("long").alias("blocked"), F.coalesce(label.isin("allow", "block"), F.lit(False)).cast("long").alias("seen"), F.col("by_rule").isNull().cast("long").alias("open"), each.alias("k"))
-    return one.groupBy("k.kind", "k.suffix").agg(*(F.sum(c).alias(c) for c in ("blocked", "seen", "open")))
+    one = judged.select(label.eqNullSafe("block").cast("long").alias("blocked"), F.coalesce(label.isin("allow", "block"), F.lit(False)).cast("long").alias("seen"), F.col("by_rule").isNull().cast("long").alias("open"), fold_of(F.col("url")).alias("fold"), each.alias("k"))
+    by_fold = F.struct(*(F.array(*(F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)) for f in range(FOLDS))).alias(c) for c in ("blocked", "seen")))
+    return one.groupBy("k.kind", "k.suffix").agg(*(F.sum(c).alias(c) for c in ("blocked", "seen", "open")), by_fold.alias("by_fold"))
+
+
+def least_hashed(distinct: DataFrame, sample: int) -> list:
+    """The ``sample`` rows of least hash, with their fold.  A threshold that twice as
+    many pass (and 1000 more) is set by their number, so each task sends few."""
+    share = (2 * sample + 1000) / max(distinct.count(), 1)
+    at = F.shiftrightunsigned(F.xxhash64("url"), 1)
+    few = distinct if share >= 1 else distinct.filter(at < F.lit(int(share * (1 << 63))))
+    found = few.select("url", "host", "path", "label", at.alias("at"), fold_of(F.col("url")).alias("fold")).collect()
+    return sorted(found, key=lambda r: (r.at, r.url))[:sample]
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", label: Column | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -226,23 +256,25 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_co
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = base.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), "label")
     labelled = judged.select("url", "host", "path", F.coalesce("label", "by_rule").alias("label")).filter("label IN ('allow', 'block')")
-    rows = labelled.groupBy("url", "host", "path").agg(F.when(F.avg((F.col("label") == "block").cast("int")) > 0.5, "block").otherwise("allow").alias("label")).orderBy(F.xxhash64("url"), "url").limit(sample).collect()  # at most ``sample`` rows
+    distinct = labelled.groupBy("url", "host", "path").agg(F.when(F.avg((F.col("label") == "block").cast("int")) > 0.5, "block").otherwise("allow").alias("label"))
+    rows = least_hashed(stage(distinct, "labelled"), sample)
     counts = stage(suffix_counts(judged), "suffixes")
     blocked, seen, unruled = (x or 0 for x in counts.filter("kind = 0").agg(F.sum("blocked"), F.sum("seen"), F.sum("open")).first())
     mean = blocked / seen if seen else 0.0
     is_hot = F.col("open") * HOT > unruled
 
-    def tables(found: DataFrame) -> tuple[dict, dict, dict]:
+    def tables(found: DataFrame, folds: bool = False) -> tuple[dict, dict, dict]:
         out: tuple[dict, dict, dict] = ({}, {}, {})
         for r in found.collect():
-            out[r.kind][r.suffix] = (r.blocked, r.seen)
+            out[r.kind][r.suffix] = (r.by_fold.blocked, r.by_fold.seen) if folds else (r.blocked, r.seen)
         return out
 
     wanted = {(i, k) for r in rows for i, k in enumerate(Suffixes.keys(r.host, r.path))}  # at most three for a row
     wanted_df = pages.sparkSession.createDataFrame(sorted(wanted), "kind int, suffix string")
-    model = Model.fit([(r.url, r.host, r.path) for r in rows], [r.label == "block" for r in rows], Suffixes.of(tables(counts.join(wanted_df, ["kind", "suffix"])), mean))
+    known = tables(counts.join(wanted_df, ["kind", "suffix"]), True)
+    others = [Suffixes.without(known, f, mean) for f in range(FOLDS)]
+    model = Model.fit([(r.url, r.host, r.path) for r in rows], [r.label == "block" for r in rows], Suffixes({}, {}, {}, mean), [r.fold for r in rows], others)
     hot = tables(counts.filter(is_hot & (F.col("seen") > 0)))
-    model.suffixes = Suffixes({}, {}, {}, mean)
 
     # rows that need no join get a key that no suffix has, and so spread over the tasks
     joined = judged.drop("label")

@@ -381,17 +381,61 @@ def test_suffixes_of_all_pages(spark, monkeypatch, hot):
     data += [("http://hot.good/", "allow")] * 300 + [("http://u:8/a/b", None), ("x", None), ("http://h1.bad/q", None)]
     pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(data)], "page_id bigint, url string, y string")
     fitted, batches = [], []
-    fit, of = url_filter.Model.fit.__func__, url_filter.Suffixes.of.__func__
+    fit, without = url_filter.Model.fit.__func__, url_filter.Suffixes.without.__func__
     monkeypatch.setattr(url_filter.Model, "fit", classmethod(lambda cls, rows, *rest: fitted.append((rows, *rest)) or fit(cls, rows, *rest)))
-    monkeypatch.setattr(url_filter.Suffixes, "of", classmethod(lambda cls, tables, *rest: batches.append(tables) or of(cls, tables, *rest)))
+    monkeypatch.setattr(url_filter.Suffixes, "without", classmethod(lambda cls, tables, *rest: batches.append(tables) or without(cls, tables, *rest)))
     monkeypatch.setattr(url_filter, "HOT", hot)
     got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, (), label=F.col("y"), sample=40).collect()}
-    rows, _, suffixes = fitted[0]
-    assert len(set(rows)) == len(rows) == 40
-    assert batches[0][0] == {"bad": (200, 200), "good": (0, 500)}
+    rows, _, _, folds, others = fitted[0]
+    assert len(set(rows)) == len(rows) == len(folds) == 40 and len(others) == url_filter.FOLDS
+    assert {k: tuple(map(sum, v)) for k, v in batches[0][0].items()} == {"bad": (200, 200), "good": (0, 500)}
     assert got[1] == got[702] == "block" and got[0] == got[500] == "allow" and len(got) == 703
 
 
+def test_no_label_is_its_own_feature():
+    """Suffixes that occur once, under labels by chance, tell the trees nothing."""
+    r = random.Random(4)
+    rows = [(f"http://site{i}.zone{i}/p", f"site{i}.zone{i}", "/p") for i in range(600)]
+    labels = [r.random() < 0.5 for _ in rows]
+    fitted = url_filter.Model.fit(rows, labels)
+    assert (fitted.blocks(rows[:300]) == np.array(labels[:300])).mean() < 0.8
+
+
+def test_url_query(spark, sf_dir):
+    """Rules as a plain reading has them, over all pages; copies agree, and labelled URLs of a fold left out are told apart."""
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()}
+    got = QUERIES["op4_url_filter"](spark, sf_dir).collect()
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    by_url, labelled = defaultdict(set), {}
+    for r in got:
+        rest = pages[r.page_id].split("://", 1)[1] if "://" in (pages[r.page_id] or "") else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(LOWER)
+        fits = [(len(x), x, v) for v, x in url_filter.RULES if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith(x[x.index("/") :])]
+        rule, verdict = max(fits)[1:] if fits else (None, None)
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
+        by_url[pages[r.page_id]].add(r.verdict)
+        if rule:
+            labelled[pages[r.page_id], host, path] = verdict == "block"
+    assert all(len(x) == 1 for x in by_url.values())
+    rows = sorted(labelled)
+    held = [zlib.crc32(x[0].encode()) % 4 == 0 for x in rows]
+    model = url_filter.Model.fit([x for x, h in zip(rows, held) if not h], [labelled[x] for x, h in zip(rows, held) if not h])
+    told = model.blocks([x for x, h in zip(rows, held) if h]) == np.array([labelled[x] for x, h in zip(rows, held) if h])
+    assert told.mean() >= 0.8  # five URLs of the smallest tables
+
+
+def test_url_odd(spark):
+    """Repeated rows, very long URLs, clashing columns; one kind of label alone."""
+    urls = ["http://a.net/es/x", "http://a.net/es/x", "http://b.org/" + "y" * 200_000, "http://b.org/" + "y" * 200_000, None, "", "://", "http://c.com/?q=1#f"]
+    pages = spark.createDataFrame([(i if i < 6 else None, u, "h", "p") for i, u in enumerate(urls)], "page_id bigint, url string, host string, _k0 string")
+    got = url_filter.url_filter(pages).collect()
+    assert len(got) == len(urls)
+    assert len({r.verdict for r in got if r.host == "b.org"}) == 1 and {r.verdict for r in got if r.host == "a.net"} == {"block"}
+    assert {r.verdict for r in url_filter.url_filter(pages, (("block", "net/es/"),)).collect()} == {"block"}
+
+
 # ----------------------------------------------------------------------- BPE
 
 
