@@ -53,29 +53,52 @@ BLOCK = 1 << 20
 # ---------------------------------------------------------------- suffix order
 
 
-def prefix_ranks(raw: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of raw[i:i+depth] for each start with depth bytes left (ties equal).
+def prefix_ranks(raw: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks) of ever longer prefixes, the last of ``depth`` bytes: ranks of
+    raw[i:i+width] for each start with as many bytes left (ties equal).
 
-    Prefix doubling: ranks to 8 bytes from the bytes, then to twice as many, and
+    Prefix doubling: ranks to 7 bytes from the bytes, then to twice as many, and
     at last to exactly ``depth`` by two overlapping parts.
     """
-    n = len(raw) - depth + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    have = 1
-    ranks = raw.astype(np.int64)
-    if depth >= 7:
-        ranks = np.zeros(len(raw) - 6, np.int64)
-        for i in range(7):
-            ranks = (ranks << 8) | raw[i : len(raw) - 6 + i]
-        have = 7
-        ranks = np.unique(ranks, return_inverse=True)[1].astype(np.int64)
-    while have < depth:
+    have = 7 if depth >= 7 else 1
+    n = max(len(raw) - have + 1, 0)
+    ranks = np.zeros(n, np.int64)
+    for i in range(have):
+        ranks = (ranks << 8) | raw[i : n + i]
+    levels = []
+    while True:
+        ranks = np.unique(ranks, return_inverse=True)[1].astype(np.int32)
+        levels.append((have, ranks))
+        if have == depth or not len(ranks):
+            return levels
         step = min(have, depth - have)
-        pairs = (ranks[: len(ranks) - step] << 32) | ranks[step:]
-        ranks = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        ranks = (ranks[: max(len(ranks) - step, 0)].astype(np.int64) << 32) | ranks[step:]
         have += step
-    return ranks[:n]
+
+
+def common_prefixes(raw: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the suffixes at a[k] and b[k], up to
+    the depth: the widths from the greatest down, each at most once, then bytes."""
+    depth, ranks = levels[-1]
+    out = np.where(ranks[a] == ranks[b], depth, 0).astype(np.int64)
+    open_ = np.flatnonzero(out == 0)
+    x, y = a[open_], b[open_]
+    found = np.zeros(len(open_), np.int64)
+    for width, ranks in levels[-2::-1]:
+        same = (x + found < len(ranks)) & (y + found < len(ranks))
+        at = np.flatnonzero(same)
+        same[at] = ranks[x[at] + found[at]] == ranks[y[at] + found[at]]
+        found[same] += width
+    for _ in range(levels[0][0] - 1):
+        same = (x + found < len(raw)) & (y + found < len(raw))
+        at = np.flatnonzero(same)
+        same[at] = raw[x[at] + found[at]] == raw[y[at] + found[at]]
+        if not same.any():
+            break
+        x, y, found, open_, gone = x[same], y[same], found[same] + 1, open_[same], (open_[~same], found[~same])
+        out[gone[0]] = gone[1]
+    out[open_] = found
+    return np.minimum(out, depth)
 
 
 def nearest_smaller(values: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,23 +123,19 @@ def nearest_smaller(values: np.ndarray, links: np.ndarray) -> tuple[np.ndarray,
 
 
 def longest_factors(raw: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and next factor at ``starts`` (ascending), each capped at
-    ``depth`` and 0 where it is shorter; starts must have ``depth`` bytes left.
+    """Longest previous and next factor at ``starts`` (ascending), up to ``depth``;
+    starts must have ``depth`` bytes left.
 
-    Previous: the longest common prefix with a smaller start.  Next: with a
+    Previous: the longest common prefix with any smaller start.  Next: with any
     larger one.
     """
     previous, following = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    ranks = prefix_ranks(raw, depth)[starts]
-    order = np.lexsort((starts, ranks))
-    equal = np.zeros(len(order), bool)
-    equal[1:] = ranks[order][1:] == ranks[order][:-1]
-    shared = equal.copy()
-    shared[:-1] |= equal[1:]
-    order, links = order[shared], np.where(equal[shared], depth, 0).astype(np.int64)
-    n = len(order)
-    if not n:
+    if not len(starts):
         return previous, following
+    levels = prefix_ranks(raw, depth)
+    order = np.lexsort((starts, levels[-1][1][starts]))
+    links = np.zeros(len(order), np.int64)
+    links[1:] = common_prefixes(raw, levels, starts[order[:-1]], starts[order[1:]])
     back = np.append(links[1:], 0)[::-1]  # the same order read from its end: back[i] lies between i - 1 and i
     for out, values in ((previous, starts[order]), (following, -starts[order])):
         _, before = nearest_smaller(values, links)

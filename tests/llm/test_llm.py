@@ -625,13 +625,40 @@ def test_suffixes_random(spark, hot):
 
 
 def test_longest_factors():
+    """Longest previous and next factors, against all pairs' common prefixes."""
     r = np.random.default_rng(1)
     for _ in range(150):
-        raw, depth = r.integers(0, 3, int(r.integers(20, 100))).astype(np.uint8), int(r.integers(2, 12))
+        raw, depth = r.integers(0, 3, int(r.integers(20, 100))).astype(np.uint8), int(r.integers(1, 20))
+        if r.random() < 0.3:
+            raw = np.concatenate([raw, raw[::-1], raw])
         starts = np.sort(r.choice(len(raw) - depth + 1, size=int(r.integers(1, len(raw) - depth)), replace=False))
+        views = np.lib.stride_tricks.sliding_window_view(raw, depth)[starts]
+        common = np.minimum.accumulate(views[:, None] == views[None], axis=2).sum(2)
         previous, following = suffix_dedup.longest_factors(raw, starts, depth)
-        same = (np.lib.stride_tricks.sliding_window_view(raw, depth)[starts][:, None] == np.lib.stride_tricks.sliding_window_view(raw, depth)[starts][None]).all(2)
-        assert ((previous >= depth) == np.tril(same, -1).any(1)).all() and ((following >= depth) == np.triu(same, 1).any(1)).all()
+        assert (previous == np.tril(common, -1).max(1)).all() and (following == np.triu(common, 1).max(1)).all()
+
+
+def test_suffix_query(spark, sf_dir, texts):
+    """The query, at its 400 bytes, against windows counted by their hashes."""
+    seen, hashes = Counter(), {}
+    for i, t in texts.items():
+        b = t.encode()
+        hashes[i] = [hash(b[s : s + 400]) for s in range(len(b) - 399)]
+        seen.update(hashes[i])
+    rows = QUERIES["op10_suffix_array"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        b = texts[r.doc_id].encode()
+        gone = np.zeros(len(b) + 1, np.int64)
+        for s, h in enumerate(hashes[r.doc_id]):
+            if seen[h] > 1:
+                gone[s] += 1
+                gone[s + 400] -= 1
+        gone = np.cumsum(gone[:-1]) > 0
+        edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest())
+    assert sum(r.n_removed > 0 for r in rows) > 10
 
 
 def test_suffixes_odd(spark, odd):
