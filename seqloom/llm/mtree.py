@@ -1,17 +1,22 @@
 """Exact top-k by inner product through M-trees.
 
-Vectors become integers, floor(256 * x).  With one more coordinate that gives all
-candidates the same norm, the largest inner product is the least Euclidean
-distance, which is a metric.  Candidates are dealt to blocks of about ``BLOCK``
-rows by a hash of their id; each block is an M-tree: paged nodes with a routing
-vector, a covering radius and the distance to the parent's routing vector.
-
-The queries, a stated set, meet every block (in chunks of ``CHUNK``).  A search
-opens nodes best first, by the least distance that any vector below can have, and
-skips, through the stored parent distances and the triangle inequality, whatever
-cannot be among the k best, mostly without computing its distance.  Bounds have a
-margin for rounding, and scores are exact integers, so results are exact.  Each
-block gives at most k rows for a query; the best of them are kept.
+Vectors become integers, floor(256 * x).  Candidates are dealt to cells, each by the
+nearest of at most ``PIVOTS`` candidates (those with the least hash of their id), and
+large cells to blocks of about ``BLOCK`` rows.  No candidate x of the cell of pivot p
+scores more than <q, p> + |q| r for a query q, where r is the cell's covering radius.
+
+The queries, a stated set, first meet the blocks of the one cell whose pivot they like
+best.  Their k-th best score there is a bound: of the other cells they meet only those
+that can reach it.
+
+A block is an M-tree: with one more coordinate that gives all its vectors the same
+norm, the largest inner product is the least Euclidean distance, which is a metric.
+Its paged nodes have a routing vector, a covering radius and the distance to the
+parent's routing vector.  A search opens nodes best first, by the least distance that
+any vector below can have, and skips, through the stored parent distances and the
+triangle inequality, whatever cannot be among the k best, mostly without computing its
+distance.  Bounds have a margin for rounding, and scores are exact integers, so results
+are exact.  Each block gives at most k rows for a query; the best of them are kept.
 
 Equal vectors are one entry with their k + 1 smallest ids (the query's own may be
 among them), which is all that can appear.
@@ -20,12 +25,15 @@ Defined cases: vectors that are null, or hold null or non-finite components, tak
 no part, nor do rows without an id; vectors of different lengths are not compared;
 rows of the query's own id are no candidates; ties go to the smaller id; rows that
 repeat an id and a vector count once; an empty table gives an empty result; other
-columns are not read.  Components up to 2**20 are exact.
+columns are not read.  Scores are exact whatever the components' size; one
+beyond a long is given as the greatest or least long, in the order of the exact scores
+(up to 38 digits).  Vectors with a component of 1e120 or more take no part.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +42,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from ._common import stage, table
+from ._common import arrow_map, column, stage, table
 
 BLOCK = 16_384
+PIVOTS = 64
+#: Queries that meet a block in one task.
 CHUNK = 4_096
+#: Integers up to here are exact as doubles.
+EXACT = 2.0**53
+#: Components from here on have no squares as doubles.
+LARGEST = 1e120
 PAGE = 128
 FANOUT = 12
 
@@ -114,6 +128,14 @@ class MTree:
                     heapq.heappush(heap, (max(0.0, to - radius[k]), int(kids[k]), to))
 
 
+def _scores(points: np.ndarray, q: np.ndarray) -> list[int]:
+    """Exact inner products: as doubles where all sums are, else in whole numbers."""
+    if not points.size or np.abs(points).max() * max(np.abs(q).max(), 1.0) * len(q) < EXACT:
+        return (points @ q).astype(np.int64).tolist()
+    whole = [int(v) for v in q]
+    return [sum(int(a) * b for a, b in zip(row, whole)) for row in points.tolist()]
+
+
 class Block:
     """Candidates of one length: ids and integer vectors, with their M-tree."""
 
@@ -129,20 +151,24 @@ class Block:
         self.top = float(squares.max()) if len(squares) else 0.0
         self.tree = MTree(np.concatenate([self.vectors, np.sqrt(self.top - squares)[:, None]], axis=1))
 
-    def best(self, own: int, q: np.ndarray) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, without ``own``."""
+    def best(self, own: int, q: np.ndarray, least: float | None = None) -> list[tuple[int, int]]:
+        """The k best (score, id) of at least ``least``, ties to the smaller id,
+        without ``own``."""
         k, square = self.k, float((q**2).sum())
         best: list[tuple[int, int]] = []  # heap of (score, -id)
 
+        def bound() -> float | None:
+            return best[0][0] if len(best) == k else least
+
         def limit() -> float:
-            return np.sqrt(max(square + self.top - 2 * best[0][0], 0.0)) if len(best) == k else np.inf
+            low = bound()
+            return np.inf if low is None else np.sqrt(max(square + self.top - 2 * low, 0.0))
 
         def consider(rows: np.ndarray, points: np.ndarray) -> None:
-            scores = (points[:, :-1] @ q).astype(np.int64)
-            if len(best) == k:
-                keep = scores >= best[0][0]
-                rows, scores = rows[keep], scores[keep]
-            for row, score in zip(rows.tolist(), scores.tolist()):
+            scores, low = _scores(points[:, :-1], q), bound()
+            for row, score in zip(rows.tolist(), scores):
+                if low is not None and score < low:
+                    continue
                 for i in self.ids[row].tolist():
                     if i == own:
                         continue
@@ -158,13 +184,66 @@ class Block:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return np.floor(256.0 * values).reshape(len(column), width)
 
 
-_OUT = "query_id long, query_key long, vec_id long, score long"
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest pivot of each vector, and its distance."""
+    squares = (pivots**2).sum(1)
+    cell = (squares[None] - 2 * (vectors @ pivots.T)).argmin(1)
+    return cell, np.sqrt(((vectors - pivots[cell]) ** 2).sum(1))
+
+
+def _deal(pivots: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Adds cell (-1 where no pivot has that length) and distance to the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = column(batch, "width")
+            cell, far = np.full(len(width), -1, np.int32), np.zeros(len(width))
+            for w, (numbers, points) in pivots.items():
+                at = np.flatnonzero(width == w)
+                if len(at):
+                    near, distance = nearest_pivots(_matrix(batch.column(1).take(pa.array(at)), w), points)
+                    cell[at], far[at] = numbers[near], distance
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    return run
+
+
+def _meet(pivots: dict[int, tuple[np.ndarray, np.ndarray]], radius: dict[int, float]):
+    """Adds ``first``, the cell to meet first, and ``others``, all other cells with
+    the highest score that a candidate of theirs can have."""
+    kind = pa.list_(pa.struct([("cell", pa.int32()), ("most", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = column(batch, "width")
+            first: list[int] = [-1] * len(width)
+            others: list[list] = [[] for _ in width]
+            for w, (numbers, points) in pivots.items():
+                at = np.flatnonzero(width == w)
+                if not len(at):
+                    continue
+                q = _matrix(batch.column(1).take(pa.array(at)), w)
+                size, reach = np.sqrt((q**2).sum(1))[:, None], np.array([radius.get(c, -1.0) for c in numbers.tolist()])
+                like = q @ points.T
+                most = like + size * reach + 1e-6 * (1 + size * (reach + np.sqrt((points**2).sum(1)))[None])
+                like[:, reach < 0] = -np.inf  # cells without candidates
+                best = like.argmax(1)
+                for i, row in enumerate(at.tolist()):
+                    first[row] = int(numbers[best[i]])
+                    others[row] = [{"cell": int(c), "most": float(m)} for k, (c, m) in enumerate(zip(numbers, most[i])) if k != best[i] and reach[k] >= 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int32()), pa.array(others, kind)], names=[*batch.schema.names, "first", "others"])
+
+    return run
+
+
+_OUT = "query_id long, query_key long, vec_id long, score long, exact string"
 
 
 def _solve(k: int):
@@ -173,31 +252,58 @@ def _solve(k: int):
         if candidates.num_rows and queries.num_rows:
             width = candidates.column("width")[0].as_py()
             block = Block(candidates.column("vec_id").to_numpy(), _matrix(candidates.column("embedding"), width), k)
-            for own, key, q in zip(queries.column("vec_id").to_pylist(), queries.column("query_key").to_pylist(), _matrix(queries.column("embedding"), width)):
-                rows += [(own, key, i, s) for s, i in block.best(own, q)]
-        cols = zip(*rows) if rows else [[]] * 4
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "query_key", "vec_id", "score"), cols)})
+            for own, key, least, q in zip(*(queries.column(c).to_pylist() for c in ("vec_id", "query_key", "least")), _matrix(queries.column("embedding"), width)):
+                rows += [(own, key, i, max(min(s, 2**63 - 1), -(2**63)), None if abs(s) < 2**63 else str(s)) for s, i in block.best(own, q, least)]
+        cols = zip(*rows) if rows else [[]] * 5
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "query_key", "vec_id", "score", "exact"), cols, [pa.int64()] * 4 + [pa.string()])})
 
     return run
 
 
+def _search(candidates: DataFrame, visits: DataFrame, subs: dict[int, int], k: int, chunk: int) -> DataFrame:
+    """_OUT for ``visits`` (vec_id, query_key, embedding, width, least, cell): each
+    query with all blocks of a cell.  Queries of a cell are dealt into parts."""
+    visits = visits.withColumn("cell", F.coalesce("cell", F.lit(-1)))
+    asked = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}  # a row for each cell
+    lookup = lambda values, least: F.coalesce(F.get(F.array(*(F.lit(values.get(c, least)) for c in range(-1, PIVOTS))), F.col("cell") + 1), F.lit(least))
+    parts = {c: -(-n // chunk) for c, n in asked.items()}
+    many, blocks = lookup(parts, 0), lookup(subs, 1)
+    keys = ("width", "cell", "block", "part")
+    left = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")).filter(many > 0).withColumn("part", F.explode(F.sequence(F.lit(0), many - 1)))
+    right = visits.withColumn("part", F.pmod(F.xxhash64("vec_id", "query_key"), many).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tasks = max(1, min(sum(p * subs.get(c, 1) for c, p in parts.items()), 4096))
+    left, right = (df.repartition(tasks, *keys) for df in (left, right))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_solve(k), _OUT)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product."""
     spark = vectors.sparkSession
     ship(spark)
 
     def valid(df: DataFrame) -> DataFrame:
-        base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
-        return base.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).withColumn("width", F.size("embedding"))
-
-    candidates, asked = valid(vectors), stage(valid(queries).distinct().withColumn("query_key", F.xxhash64("embedding")), "queries")
-    blocks = max(1, -(-candidates.count() // block))
-    parts = max(1, -(-asked.count() // chunk))
-    candidates = candidates.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", "query_key"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    keys = ("width", "block", "part")
-    found = candidates.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_solve(k), _OUT)
-    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
+        base = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL")
+        return base.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))).withColumn("width", F.size("embedding"))
+
+    candidates = valid(vectors)
+    some = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # at most PIVOTS rows
+    pivots = {w: (np.array([i for i, r in enumerate(some) if r.width == w]), np.floor(256.0 * np.array([r.embedding for r in some if r.width == w], float)).reshape(-1, w)) for w in {r.width for r in some}}
+    dealt = stage(arrow_map(candidates, _deal(pivots), "vec_id long, embedding array<double>, width int, cell int, far double"), "cells")
+    cells = {r.cell: r for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}  # a row for each cell
+    subs = {c: -(-r.n // block) for c, r in cells.items()}
+    asked = valid(queries).distinct().withColumn("query_key", F.xxhash64("embedding"))
+    asked = stage(arrow_map(asked, _meet(pivots, {c: r.radius for c, r in cells.items()}), "vec_id long, embedding array<double>, width int, query_key long, first int, others array<struct<cell:int,most:double>>"), "queries")
+    given = ("vec_id", "embedding", "width", "query_key")
+    near = stage(_search(dealt, asked.select(*given, F.lit(None).cast("double").alias("least"), F.col("first").alias("cell")), subs, k, chunk), "near")
+    # the k-th best score so far; without k, or beyond a long, there is no bound
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc(F.col("score")), "vec_id")
+    bound = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).filter("abs(score) < 4611686018427387904").select(F.col("query_id").alias("vec_id"), "query_key", F.col("score").cast("double").alias("least"))
+    later = asked.join(bound, ["vec_id", "query_key"], "left").select(*given, "least", F.explode("others").alias("o")).filter("least IS NULL OR o.most >= least")
+    far = _search(dealt, later.select(*given, "least", F.col("o.cell").alias("cell")), subs, k, chunk)
+    found = near.unionByName(far)
+    # scores beyond a long in their exact order, as far as decimals go
+    wide = F.coalesce(F.expr("try_cast(exact AS decimal(38, 0))"), F.when(F.col("exact").startswith("-"), F.lit("-" + "9" * 38)).when(F.col("exact").isNotNull(), F.lit("9" * 38)).cast("decimal(38,0)"), F.col("score").cast("decimal(38,0)"))
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc(wide), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -506,6 +506,41 @@ def test_top_k_odd(spark):
     assert sorted(tuple(x) for x in got) == sorted(want)
 
 
+def plain_top(base, asked, k):
+    """Whole-number scores of all pairs."""
+    whole = {(i, tuple(math.floor(256.0 * x) for x in v)) for i, v in base}
+    out = []
+    for i, q in whole:
+        if asked(i):
+            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i and len(v) == len(q))[:k]
+            out += [(i, n + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(scores)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**21, 2.0**29, 2.0**40])
+def test_top_k_of_doubles(spark, scale):
+    """The floor of doubles, not of floats; exact scores of large components, also beyond a long."""
+    r = np.random.default_rng(3)
+    base = [(i, [float(x) * scale for x in r.normal(size=4)]) for i in range(120)] + [(200, [0.99609375 - 1e-12, 2.0, 2.0, 2.0]), (201, [scale, scale, scale - 0.01, 1.0]), (202, [scale, scale, scale, 1.0])]
+    df = spark.createDataFrame(base, "vec_id bigint, embedding array<double>")
+    got = mtree.top_k(df, df.filter("vec_id % 10 = 0"), 5, block=16, chunk=7).collect()
+    assert sorted(tuple(x) for x in got) == plain_top(base, lambda i: i % 10 == 0, 5)
+
+
+def test_cells_spare_searches(spark, monkeypatch):
+    """Clustered vectors, of which one is very common: few cells are met, results are exact."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 6)) * 40
+    base = [(i, [float(x) for x in centres[i % 12] + r.normal(size=6) * 0.2]) for i in range(600)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) for i in range(200)]
+    df = spark.createDataFrame(base, "vec_id bigint, embedding array<double>")
+    met = []
+    search = mtree._search
+    monkeypatch.setattr(mtree, "_search", lambda c, visits, *rest: met.append(visits.count()) or search(c, visits, *rest))
+    got = mtree.top_k(df, df.filter("vec_id % 50 = 0"), 5, block=40).collect()
+    assert sorted(tuple(x) for x in got) == plain_top(base, lambda i: i % 50 == 0, 5)
+    assert met[0] == 16 and met[1] < 16 * mtree.PIVOTS / 2
+
+
 def test_tree_avoids_distances():
     r = np.random.default_rng(1)
     centres = r.normal(size=(40, 8)) * 50
