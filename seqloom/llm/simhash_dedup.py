@@ -51,8 +51,8 @@ RECALL = 0.96
 AHEAD = 4
 #: The 64-bit words of a fingerprint that travel with its keys.
 CARRIED = 4
-#: Fingerprints of a crowded key that are compared with as many others in one row.
-SIDE = 256
+#: Nodes that are compared with as many others at once, and bytes of their texts.
+SIDE, SIDE_BYTES = 256, 1 << 23
 
 
 def _share(similarity: float) -> float:
@@ -312,11 +312,11 @@ def _dense(members: DataFrame, rooted: DataFrame, width: int, similarity: float)
     met = stage(each.select("fp", "root", F.explode("keys").alias("key")), "crowds")
     keys = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     open_ = met.join(keys.select("key", "n"), "key").groupBy("fp").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
-    wide = open_.join(rooted, "fp").select("fp", "root", "wide", F.explode("keys").alias("k"))
+    wide = open_.join(rooted, "fp").select("fp", "root", "wide", F.col("keys.key").alias("all_keys"), F.explode("keys").alias("k"))
     sides = F.ceil(F.col("k.n") / SIDE).cast("int")
-    dealt = wide.select("fp", "root", "wide", "k.key", sides.alias("sides"), F.pmod(F.xxhash64("fp"), sides).cast("int").alias("own"))
+    dealt = wide.select("fp", "root", "wide", "all_keys", "k.key", sides.alias("sides"), F.pmod(F.xxhash64("fp"), sides).cast("int").alias("own"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("fp", "root", "own", "wide").alias("one"))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("fp", "root", "own", "wide", "all_keys").alias("one"))
     blocks = dealt.groupBy("key", "low", "high").agg(F.collect_list("one").alias("all"))
     limit = _limit(width, similarity)
 
@@ -328,10 +328,14 @@ def _dense(members: DataFrame, rooted: DataFrame, width: int, similarity: float)
                 prints = all_.field("wide").flatten().to_numpy().view(U64).reshape(len(fp), -1)
                 a, b = (np.flatnonzero(own == batch.column(k)[i].as_py()) for k in (0, 1))
                 x, y = close_pairs(prints[a], prints[b], root[a], root[b], limit)
-                u, v = fp[a[x]], fp[b[y]]
+                x, y = a[x], b[y]
+                # a pair is given out under the least key that both have
+                key, keys = batch.column(3)[i].as_py(), {j: set(all_.field("all_keys")[j].as_py()) for j in {*x.tolist(), *y.tolist()}}
+                least = np.array([min(keys[j] & keys[k]) == key for j, k in zip(x.tolist(), y.tolist())], bool)
+                u, v = fp[x[least]], fp[y[least]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return arrow_map(blocks.select("low", "high", "all"), run, "u long, v long").distinct()
+    return arrow_map(blocks.select("low", "high", "all", "key"), run, "u long, v long").distinct()
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, root_a: np.ndarray, root_b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,31 +360,54 @@ def _judged(pairs: DataFrame, firsts: DataFrame, width: int, similarity: float)
 
 
 def _alike(pairs: DataFrame, firsts: DataFrame, base: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose texts have that Jaccard similarity, exactly."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(firsts, "fp").select("fp", F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"))
+    """The pairs (staged) whose texts have that Jaccard similarity, exactly.
+
+    Nodes are dealt to sides of about ``SIDE`` of them, and pairs to the pairs of
+    their sides.  There each text comes once, however many pairs it is in, and only
+    the sets of one pair of sides are in memory.
+    """
+    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    nodes = ends.join(firsts, "fp").select("fp", F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"))
     one = base.join(nodes, base["doc_id"].eqNullSafe(nodes["_id"]) & base["sum"].eqNullSafe(nodes["_sum"])).select("fp", "text")
     texts = stage(one.dropDuplicates(["fp"]), "texts")
-    both = pairs.join(texts.select(F.col("fp").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("fp").alias("v"), F.col("text").alias("text_v")), "v")
+    n, held = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    sides = max(1, -(-n // SIDE), -(-(held or 0) // SIDE_BYTES))
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
+    met = pairs.select(side("u").alias("a"), side("v").alias("b"), "u", "v")
+    members = met.select("a", "b", F.col("u").alias("fp")).unionByName(met.select("a", "b", F.col("v").alias("fp"))).distinct().join(texts, "fp")
+    members = members.select("a", "b", F.lit(0).alias("pair"), F.col("fp").alias("u"), F.lit(0).cast("long").alias("v"), "text")
+    rows = members.unionByName(met.select("a", "b", F.lit(1).alias("pair"), "u", "v", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        current = None
         for batch in batches:
-            for part in chunks(batch, "text_u"):
-                keep = [jaccard(a or "", b or "", size) >= similarity for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return arrow_map(both.select("u", "v", "text_u", "text_v"), run, "u long, v long")
-
-
-def jaccard(a: str, b: str, size: int) -> float:
-    """Of the sets of shingles of two texts; 1 for two without words."""
-    sets = []
-    for text in (a, b):
-        raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
-        starts, ends, _ = words(raw, np.array([0, len(raw)]))
-        hashes = word_hashes(raw, starts, ends)
-        sets.append(np.unique(gram_hashes(hashes, min(size, len(hashes)))) if len(hashes) else hashes)
-    both = len(np.intersect1d(*sets, assume_unique=True))
-    return both / whole if (whole := len(sets[0]) + len(sets[1]) - both) else 1.0
+            for part in chunks(batch):
+                found = []
+                for a, b, pair, u, v, text in zip(*(c.to_pylist() for c in part.columns)):
+                    if (a, b) != current:
+                        sets, current = {}, (a, b)
+                    if not pair:
+                        sets[u] = shingle_set(text or "", size)
+                    elif jaccard(sets[u], sets[v]) >= similarity:
+                        found.append((u, v))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return arrow_map(rows.repartition("a", "b").sortWithinPartitions("a", "b", "pair"), run, "u long, v long")
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles; of all its words, if they are fewer."""
+    raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
+    starts, ends, _ = words(raw, np.array([0, len(raw)]))
+    hashes = word_hashes(raw, starts, ends)
+    return np.unique(gram_hashes(hashes, min(size, len(hashes)))) if len(hashes) else hashes
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / whole if (whole := len(a) + len(b) - both) else 1.0
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -306,7 +306,8 @@ def test_similar_groups(spark, monkeypatch):
             for at in r.sample(range(400), 3):  # 15 of 396 shingles each
                 text[at] = r.choice(words)
             data.append((len(data), " ".join(text)))
-    links = [(a, b) for a, x in data for b, y in data[:a] if simhash_dedup.jaccard(x, y, 5) >= 0.8]
+    sets = [simhash_dedup.shingle_set(x, 5) for _, x in data]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if simhash_dedup.jaccard(sets[a], sets[b]) >= 0.8]
     want = {i: i for i, _ in data}
     for _ in data:
         for a, b in links:
@@ -335,7 +336,8 @@ def test_repeated_words_decide_nothing(spark):
     """Different texts with one long run of a word, and copies but for case and spaces."""
     data = [" ".join([f"a{i}x{j}" for j in range(100)] + ["same"] * run) for i, run in enumerate((34, 34, 64, 64, 300, 300))]
     data += [data[0].upper().replace(" ", "  ")]
-    assert simhash_dedup.jaccard(data[0], data[1], 5) < 0.01 and simhash_dedup.jaccard(data[0], data[6], 5) == 1
+    sets = [simhash_dedup.shingle_set(x, 5) for x in data]
+    assert simhash_dedup.jaccard(sets[0], sets[1]) < 0.01 and simhash_dedup.jaccard(sets[0], sets[6]) == 1
     df = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string")
     assert dict(collected(simhash_dedup.similar_groups(df), "doc_id", "component_id")) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0}
 
