@@ -85,9 +85,62 @@ def exact_prefix(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0).otherwise(F.coalesce(F.get(differs, F.lit(0)) - 1, least))
 
 
+def exact_prefix_reverse(a: Column, b: Column) -> Column:
+    """The same of ``a`` and the reverse complement of ``b``."""
+    return exact_prefix(a, reverse_complement(b))
+
+
 def trailing_zeros(x: Column) -> Column:
-    """Low clear bits of a non-zero long."""
-    return F.instr(F.reverse(F.bin(x)), "1") - 1
+    """Low clear bits of a long; 64 for 0."""
+    return F.when(x == 0, 64).otherwise(F.instr(F.reverse(F.bin(x)), "1") - 1)
+
+
+def trailing_ones(x: Column) -> Column:
+    """Low set bits of a long."""
+    return trailing_zeros(F.bitwise_not(x))
+
+
+def bit_field(x: Column, start: int, stop: int) -> Column:
+    """Bits start to before stop, fewer than 63 of them."""
+    return F.shiftrightunsigned(x, start).bitwiseAND(F.lit((1 << (stop - start)) - 1))
+
+
+def code_of(index: Column) -> Column:
+    """Strands and mates have the codes 1 and 2 for the indices 0 and 1."""
+    return index + 1
+
+
+def index_of(code: Column) -> Column:
+    return code - 1
+
+
+def strand_of(text: Column, forward: str = "+", reverse: str = "-") -> Column:
+    """The strand's code from its letter; anything else is an error."""
+    return F.when(text == forward, 1).when(text == reverse, 2).otherwise(F.raise_error(F.concat(F.lit("not a strand: "), F.coalesce(text, F.lit("null")))))
+
+
+def poly_a_tail(seq: Column, least: int, ratio: float) -> Column:
+    """Length of the tail of a sequence that is rich in A: at least the share ``ratio``.
+
+    If the last ``least`` bases are, the tail grows from there as long as it is;
+    otherwise it is the longest shorter one that is.  Masked bases are no A.
+    """
+    share = F.lit(ratio).cast("float")
+
+    def step(a: Column, letter: Column) -> Column:
+        n, many = a["n"] + 1, a["many"] + F.when(letter == "A", 1).otherwise(0)
+        rich = many.cast("float") >= n.cast("float") * share
+        growing = F.when(n <= least, rich).otherwise(a["growing"] & rich)
+        best = F.when(rich & ((n <= least) | a["growing"]), n).otherwise(a["best"])
+        return F.struct(n.alias("n"), many.alias("many"), best.alias("best"), growing.alias("growing"))
+
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("many"), F.lit(0).alias("best"), F.lit(False).alias("growing"))
+    letters = F.filter(F.split(F.reverse(seq), ""), lambda x: x != "")
+    return F.aggregate(letters, begin, step, lambda a: a["best"])
+
+
+def intron_penalty(scale: float, growth: float, intron: Column, read: Column) -> Column:
+    return read * scale * (F.exp(intron * growth) - 1)
 
 
 def defline_id(line: Column) -> Column:

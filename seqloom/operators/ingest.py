@@ -38,9 +38,10 @@ def interleaved_pairs(records: DataFrame) -> DataFrame:
 
 def spot_reads(spots: DataFrame) -> DataFrame:
     """(acc, spot_ord from 0, fragments): two fragments are a pair, of any other
-    number the first alone counts."""
+    number the first alone counts; spots without any are left out."""
     paired = F.size("fragments") == 2
-    return spots.select(F.col("spot_ord").alias("read_ord"), F.concat_ws(".", "acc", (F.col("spot_ord") + 1).cast("string")).alias("read_id"), F.get("fragments", F.lit(0)).alias("mate1"), F.when(paired, F.get("fragments", F.lit(1))).alias("mate2"))
+    read = spots.filter("size(fragments) > 0")
+    return read.select(F.col("spot_ord").alias("read_ord"), F.concat_ws(".", "acc", (F.col("spot_ord") + 1).cast("string")).alias("read_id"), F.get("fragments", F.lit(0)).alias("mate1"), F.when(paired, F.get("fragments", F.lit(1))).alias("mate2"))
 
 
 def to_mates(pairs: DataFrame) -> DataFrame:
@@ -55,6 +56,29 @@ def length_filter(mates: DataFrame, limit: int = MAX_LENGTH) -> DataFrame:
     return mates.join(long, "read_ord", "left_anti")
 
 
+def failed_spots(spots: DataFrame) -> DataFrame:
+    """One row: the spots that could not be read (no fragments)."""
+    return spots.agg(F.coalesce(F.sum((F.col("fragments").isNull() | (F.size("fragments") < 1)).cast("bigint")), F.lit(0).cast("bigint")).alias("failed"))
+
+
+def duplicate_ids(reads: DataFrame) -> DataFrame:
+    """(read_id, reads): ids that more than one read has."""
+    return reads.select("read_ord", "read_id").distinct().groupBy("read_id").agg(F.count(F.lit(1)).alias("reads")).filter("reads > 1")
+
+
+def require_unique(mates: DataFrame) -> DataFrame:
+    """``mates``, or an error when a read's id is that of another read."""
+    again = duplicate_ids(mates).select(F.col("read_id").alias("_again"))
+    found = mates.join(again, F.col("read_id") == F.col("_again"), "left")
+    return found.withColumn("read_id", F.when(F.col("_again").isNotNull(), F.raise_error(F.concat(F.lit("duplicate id: "), "_again"))).otherwise(F.col("read_id"))).drop("_again")
+
+
+def screened_mates(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: the mates that a prescreen emptied."""
+    filled = lambda df: df.filter("length(seq) > 0").agg(F.count(F.lit(1)).alias("n"))
+    return filled(before).join(F.broadcast(filled(after).withColumnRenamed("n", "m"))).select((F.col("n") - F.col("m")).alias("n_screened"))
+
+
 def counters(mates: DataFrame, limit: int = MAX_LENGTH) -> DataFrame:
     """One row: reads, pairs, mates, bases, masked bases, reads beyond the limit."""
     by_read = mates.groupBy("read_ord").agg(F.count(F.lit(1)).alias("mates"), F.sum(F.length("seq")).alias("bases"), F.sum(F.length("seq") - F.length(F.translate("seq", "N", ""))).alias("masked"), F.max(F.length("seq")).alias("longest"))

@@ -13,6 +13,8 @@ from .params import SCREEN, SEED
 #: Occurrences above which a k-mer is a repeat, an exact repeat;
 #: distinct words that a frequency table may hold.
 REPEAT, EXACT_REPEAT, TABLE_LIMIT = 16, 128, 128 * 1024 * 1024
+#: Fixed value: bytes of an index entry.
+INDEX_BYTES = 8
 
 
 def reference_stats(refs: DataFrame) -> DataFrame:
@@ -24,6 +26,12 @@ def seed_counts(refs: DataFrame) -> DataFrame:
     return kmers(refs.select("ref_ord", "seq"), "seq", SEED, "refpos").groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+def memory_use(refs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """One row: bytes of the sequences at two bits, of their masks, and of an index."""
+    held = refs.agg(F.sum(F.ceil(F.length("seq") / 4)).alias("seq_bytes"), F.sum(F.ceil(F.length("seq") / 8)).alias("mask_bytes"))
+    return held.join(F.broadcast(seeds.agg((F.count(F.lit(1)) * INDEX_BYTES).alias("index_bytes"))))
+
+
 def anchor_histogram(seeds: DataFrame) -> DataFrame:
     """(anchor, n, first): entries by anchor, and those before it; at most 4**9 rows."""
     counts = seeds.groupBy(dna.anchor_of(F.col("kmer")).alias("anchor")).agg(F.count(F.lit(1)).alias("n"))
@@ -66,7 +74,14 @@ def word_bitmaps(words: DataFrame) -> DataFrame:
 
 
 def build_db(refs: DataFrame, path: str, index: bool = False, word_set: bool = False) -> None:
-    """Write refs, and on demand the seed index (sorted by k-mer) and the words."""
+    """Write refs, and on demand the seed index (sorted by k-mer) and the words.
+
+    An index or word set of earlier references goes first, so that none is stale.
+    """
+    folder = refs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(refs.sparkSession._jsc.hadoopConfiguration())
+    for old in ("seeds", "words"):
+        store.delete(refs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder, old), True)
     refs.select("ref_ord", "ref_id", "seq").write.mode("overwrite").parquet(f"{path}/refs")
     refs = refs.sparkSession.read.parquet(f"{path}/refs")
     if index:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TextIO
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.orderBy("read_ord", "mate").select(F.concat_ws("\n", "header", "seq").alias("value")).write.mode("overwrite").text(path)
 
 
-def run_summary(mates: DataFrame, marks: DataFrame) -> DataFrame:
+def print_report(rows: DataFrame, out: TextIO) -> None:
+    """The same to a stream, a partition at a time."""
+    for row in rows.orderBy("read_ord", "mate").select("header", "seq").toLocalIterator():
+        out.write(f"{row.header}\n{row.seq}\n")
+
+
+def run_summary(mates: DataFrame, marks: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """One row: reads searched, reads that could not be read (``failed``, one row, as
+    of ``failed_spots``) and marks."""
     total = mates.agg(F.count_distinct("read_ord").alias("total_reads"))
+    total = total.join(F.broadcast(failed.select(F.col("failed").alias("failed_reads")))) if failed is not None else total.withColumn("failed_reads", F.lit(0).cast("bigint"))
     return total.join(F.broadcast(marks.agg(F.count(F.lit(1)).alias("mapped"))))

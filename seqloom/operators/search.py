@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,21 @@ def search(mates: DataFrame, refs: DataFrame, params: SearchParams = SearchParam
         mates = prescreen(mates, words)
     marks = mark(seed_hits(mates, seeds if seeds is not None else reference_seeds(refs)), params)
     return marks, report(mates, marks, params.per_mate)
+
+
+def count_batches(mates: DataFrame, size: int) -> DataFrame:
+    """(read_ord, batch): at most ``size`` neighbouring ordinals in a batch."""
+    if size < 1:
+        raise ValueError("a batch has at least one read")
+    return mates.select("read_ord").distinct().select("read_ord", F.floor(F.col("read_ord") / size).alias("batch"))
+
+
+def search_batches(mates: DataFrame, batches: DataFrame, refs: DataFrame, params: SearchParams = SearchParams(), seeds: DataFrame | None = None, words: DataFrame | None = None) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """(batch, marks, report), batch by batch as (read_ord, batch) deals the reads.
+
+    A read's result depends on that read alone, so the batches' results are those of
+    one search; only their numbers, one for each batch, come to the driver.
+    """
+    dealt = mates.join(batches, "read_ord")
+    for number in sorted(r.batch for r in batches.select("batch").distinct().collect()):
+        yield number, *search(dealt.filter(F.col("batch") == number).drop("batch"), refs, params, seeds, words)

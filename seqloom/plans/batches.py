@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dna
 from ..operators.kmers import kmers
 from ..operators.params import SEED
+from ..operators.refdb import frequency_cutoff, frequency_histogram, frequency_table, seed_counts
 from .shipping import ship
 
 #: Bytes of memory for a hit, and for a base of a read.
@@ -25,6 +27,16 @@ def hit_upper_bound(mates: DataFrame, table: DataFrame, cutoff: DataFrame) -> Da
     return bounded.groupBy("read_ord").agg(F.sum(F.expr("shiftleft(1L, coalesce(bin, cutoff))")).alias("hits"))
 
 
+def memory_batches(mates: DataFrame, refs: DataFrame, limit: int) -> DataFrame:
+    """(read_ord, batch) for ``search_batches``: the plan from the references' own
+    k-mer counts."""
+    counts = seed_counts(refs)
+    cutoff = frequency_cutoff(frequency_histogram(counts))
+    mates = mates.withColumn("seq", dna.recode_read(F.col("seq")))
+    hits = hit_upper_bound(mates, frequency_table(counts, cutoff), cutoff)
+    return batch_plan(mates, hits, limit).select("read_ord", "batch")
+
+
 def batch_plan(mates: DataFrame, hits: DataFrame, limit: int) -> DataFrame:
     """(read_ord, bytes, batch): reads in order, a new batch where the sum of bytes
     would exceed ``limit``; a read beyond it alone is an error.

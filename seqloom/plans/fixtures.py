@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -64,3 +67,37 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref_ord, seq): whole references, each up to 200 times in a row."""
     return refs(spark, sf_dir).select("ref_ord", F.expr("repeat(seq, element_at(array(1, 17, 20, 129, 200), cast(ref_ord % 5 + 1 AS int)))").alias("seq"))
+
+
+def broken_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spots, some of which could not be read."""
+    return spots(spark, sf_dir).withColumn("fragments", F.expr("CASE spot_ord % 8 WHEN 6 THEN NULL WHEN 4 THEN array() ELSE fragments END"))
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder that executors see (a private one where no checkpoint folder is
+    set, as in tests), gone when the application ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def text_files(records: DataFrame, order: str, value: Column, label: str, **options) -> list[str]:
+    """Records as text, in order, in several files: their paths."""
+    spark = records.sparkSession
+    path = folder(spark, label)
+    records.repartitionByRange(3, order).sortWithinPartitions(order).select(value.alias("value")).write.options(**options).text(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath().toString() for f in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    return sorted(f for f in files if "/part-" in f)
+
+
+def fasta(name: Column, seq: Column) -> Column:
+    """A record with a description, its sequence in lines of 60."""
+    return F.concat(F.lit(">"), name, F.lit(" of the benchmark\n"), F.regexp_replace(seq, "(.{60})", "$1\n"))
+
+
+def fastq(name: Column, seq: Column) -> Column:
+    """A record whose qualities look like headers."""
+    return F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), F.regexp_replace(seq, ".", "@"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators import ingest, kmers, marking, refdb, report, seeds
+from ..operators import search as search_
 from ..operators.params import SearchParams
+from ..sources import accessions, reads
+from ..sources.fastx import read_fastx
+from ..streaming.search import search_stream
 from . import batches, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +111,16 @@ _query("exact_prefix", lambda s, d: fixtures.pairs(s, d).select("read_ord", dna.
 _query("mate_id_combine", lambda s, d: fixtures.pairs(s, d).select("read_ord", dna.combine_ids(F.col("id1"), F.col("id2")).alias("id"), dna.combine_ids(F.col("id1"), F.col("id1")).alias("same"), dna.combine_ids(F.col("id2"), F.col("id1")).alias("swapped")), f"WITH {_SHOT_BASE}, {_PAIRS} SELECT read_ord, 'r' || read_ord AS id, id1 AS same, NULL::VARCHAR AS swapped FROM pairs")
 _query("defline_id", lambda s, d: _docs(s, d).select("doc_id", dna.defline_id(F.concat(F.lit(">"), F.col("text"))).alias("id"), dna.is_gzip(F.concat("source", F.lit(".gz"))).alias("gz")), "SELECT doc_id, regexp_extract('>' || text, '^[>@]([^ \\t]*)', 1) AS id, length(source || '.gz') > 3 AS gz FROM documents")
 
+_query("bit_runs", lambda s, d: kmers.kmers(fixtures.shots(s, d).select("read_ord", "seq")).select("read_ord", "pos", dna.trailing_zeros(F.col("kmer")).alias("clear"), dna.trailing_ones(F.col("kmer")).alias("set"), dna.bit_field(F.col("kmer"), 4, 20).alias("field")), f"WITH {_SHOT_BASE}, {_kmers('k', 'shots', 'read_ord')}, c AS (SELECT read_ord, pos, {_code('kmer')} AS k FROM k) SELECT read_ord, pos, CASE WHEN k = 0 THEN 64 ELSE strpos(reverse(bin(k)), '1') - 1 END AS clear, strpos(reverse(bin(k)) || '0', '0') - 1 AS set, (k >> 4) & 65535 AS field FROM c")
+_query("strand_codes", lambda s, d: _mates(s, d).select("read_ord", "mate", dna.strand_of(F.when(F.col("mate") == 0, "+").otherwise("-")).alias("strand"), dna.code_of(F.col("mate")).alias("code"), dna.index_of(dna.code_of(F.col("mate"))).alias("back")), f"WITH {_PAIR_BASE} SELECT read_ord, mate, mate + 1 AS strand, mate + 1 AS code, mate AS back FROM mates")
+_query("exact_prefix_reverse", lambda s, d: fixtures.shots(s, d).select("read_ord", dna.exact_prefix_reverse(F.col("seq"), F.concat(F.lit("T"), dna.reverse_complement(F.substring("seq", 1, 40)))).alias("n")), f"WITH {_SHOT_BASE} SELECT read_ord, (SELECT count(*) FROM range(1, least(length(seq), 41) + 1) t(i) WHERE substr(seq, 1, i::INT) = substr(substr(seq, 1, 40) || 'A', 1, i::INT) AND substr(seq, 1, i::INT) NOT LIKE '%N%')::INT AS n FROM shots")
+_query("poly_a_tail", lambda s, d: fixtures.shots(s, d).select("read_ord", dna.poly_a_tail(F.concat("seq", F.lit("AAACAAAANAACAA")), 10, 0.6).alias("tail"), dna.poly_a_tail(F.col("seq"), 12, 0.3).alias("plain")), f"""WITH {_SHOT_BASE}, t AS (SELECT read_ord, 1 AS kind, reverse(seq || 'AAACAAAANAACAA') AS s, 10 AS least, 0.6::FLOAT AS r FROM shots UNION ALL SELECT read_ord, 2, reverse(seq), 12, 0.3::FLOAT FROM shots),
+l AS (SELECT read_ord, kind, least, i, (length(substr(s, 1, i::INT)) - length(replace(substr(s, 1, i::INT), 'A', '')))::FLOAT >= i::FLOAT * r AS rich FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM t)),
+m AS (SELECT read_ord, kind, least, max(CASE WHEN rich AND i <= least THEN i END) AS short, min(CASE WHEN NOT rich AND i >= least THEN i END) AS stop, max(i) AS n FROM l GROUP BY ALL),
+a AS (SELECT read_ord, kind, CASE WHEN coalesce(stop, n + 1) > least THEN coalesce(stop, n + 1) - 1 ELSE coalesce(short, 0) END::INT AS tail FROM m)
+SELECT x.read_ord, x.tail, y.tail AS plain FROM a x JOIN a y ON x.read_ord = y.read_ord AND x.kind = 1 AND y.kind = 2""")
+_query("intron_penalty", lambda s, d: fixtures.refs(s, d).select("ref_ord", F.round(dna.intron_penalty(0.5, 0.001, F.length("seq"), F.col("ref_ord")), 6).alias("penalty")), f"WITH {_REFS} SELECT ref_ord, round(ref_ord * 0.5::DOUBLE * (exp(length(seq) * 0.001::DOUBLE) - 1), 6) AS penalty FROM refs")
+
 # --------------------------------------------------------------------- ingest
 
 _query("read_slice", lambda s, d: ingest.read_slice(fixtures.shots(s, d), 2000, 15000).select("read_ord", "seq"), f"WITH {_SHOT_BASE} SELECT read_ord, seq FROM shots WHERE read_ord BETWEEN 2000 AND 15000")
@@ -124,6 +139,44 @@ _query("spot_pairs", lambda s, d: ingest.spot_reads(fixtures.spots(s, d)), f"WIT
 _query("input_counters", lambda s, d: ingest.counters(_mates(s, d)), f"WITH {_PAIR_BASE} SELECT count(DISTINCT read_ord) AS n_reads, count(DISTINCT read_ord) AS n_pairs, count(*) AS n_mates, sum(length(seq))::BIGINT AS n_bases, sum(length(seq) - length(replace(seq, 'N', '')))::BIGINT AS n_masked, 0::BIGINT AS n_skipped FROM mates")
 
 
+_query("duplicate_ids", lambda s, d: ingest.duplicate_ids(fixtures.shots(s, d).withColumn("read_id", F.concat(F.lit("d"), F.floor(F.col("read_ord") / 3).cast("string")))), f"WITH {_SHOT_BASE} SELECT 'd' || (read_ord // 3) AS read_id, count(*) AS reads FROM shots GROUP BY 1 HAVING count(*) > 1")
+_query("failed_spots", lambda s, d: ingest.failed_spots(fixtures.broken_spots(s, d)), f"WITH {_SHOT_BASE}, {_PAIRS} SELECT count(*) FILTER (read_ord % 8 IN (4, 6)) AS failed FROM pairs")
+
+
+def _accession(s: SparkSession, d: str) -> DataFrame:
+    folder = fixtures.folder(s, "accessions")
+    fixtures.broken_spots(s, d).write.parquet(f"{folder}/ACC1.parquet")
+    accessions.register("ACC", accessions.tables(folder))
+    return reads.open_reads(s, ["ACC1"], "sra")
+
+
+_query("accession_scan", _accession, f"WITH {_SHOT_BASE}, {_PAIRS}, good AS (SELECT * FROM pairs WHERE read_ord % 8 NOT IN (4, 6)) SELECT read_ord, 'ACC1.' || (read_ord + 1) AS read_id, 0 AS mate, mate1 AS seq FROM good UNION ALL SELECT read_ord, 'ACC1.' || (read_ord + 1), 1, mate2 FROM good WHERE read_ord % 3 = 1")
+
+# ---------------------------------------------------------------------- files
+
+
+def _shot_files(s: SparkSession, d: str, form: Callable, label: str, **options) -> list[str]:
+    return fixtures.text_files(fixtures.shots(s, d), "read_ord", form(F.col("read_id"), F.col("seq")), label, **options)
+
+
+def _mate_files(s: SparkSession, d: str) -> DataFrame:
+    one, two = (read_fastx(s, fixtures.text_files(fixtures.pairs(s, d), "read_ord", fixtures.fasta(F.col(f"id{k}"), F.col(f"mate{k}")), f"mates{k}")) for k in (1, 2))
+    return ingest.zip_pairs(one, two).select("read_id", "mate1", "mate2")
+
+
+def _reference_file(s: SparkSession, d: str) -> DataFrame:
+    record = F.concat(F.lit("# a comment\n"), fixtures.fasta(F.col("ref_id"), F.lower("seq")), F.lit("\n-*"))
+    return reads.open_references(s, fixtures.text_files(fixtures.refs(s, d), "ref_ord", record, "references")).select("ref_id", "seq")
+
+
+_read_rows = f"WITH {_SHOT_BASE} SELECT read_id, seq FROM shots"
+_query("fasta_scan", lambda s, d: read_fastx(s, _shot_files(s, d, fixtures.fasta, "fasta")).select("read_id", "seq"), _read_rows)
+_query("fastq_scan", lambda s, d: read_fastx(s, _shot_files(s, d, fixtures.fastq, "fastq"), "fastq").select("read_id", "seq"), _read_rows)
+_query("gzip_scan", lambda s, d: read_fastx(s, _shot_files(s, d, fixtures.fastq, "zfastq", compression="gzip"), "zfastq").select("read_id", "seq"), _read_rows)
+_query("mate_files", _mate_files, f"WITH {_SHOT_BASE}, {_PAIRS} SELECT 'r' || read_ord AS read_id, mate1, mate2 FROM pairs")
+_query("reference_scan", _reference_file, f"WITH {_REFS} SELECT ref_id, seq FROM refs")
+
+
 def _mates(s: SparkSession, d: str) -> DataFrame:
     p = fixtures.pairs(s, d)
     return ingest.to_mates(p.select("read_ord", dna.combine_ids(F.col("id1"), F.col("id2")).alias("read_id"), "mate1", "mate2"))
@@ -161,6 +214,21 @@ _query("freq_table", _table, f"WITH {_cut} SELECT {_code('kmer')} AS kmer, bin F
 _query("word_set16", lambda s, d: refdb.screening_words(fixtures.refs(s, d)), f"WITH {_REFS}, {_kmers('k', 'refs', 'ref_ord', 16)} SELECT {_code('kmer', 16)} AS word FROM k UNION SELECT {_code(_rc('kmer'), 16)} FROM k")
 _query("word_bitmap_counts", lambda s, d: refdb.word_bitmaps(refdb.screening_words(fixtures.refs(s, d))).select("bucket", F.expr("bitmap_count(bitmap)").alias("words")), f"WITH {_REFS}, {_kmers('k', 'refs', 'ref_ord', 16)}, w AS (SELECT {_code('kmer', 16)} AS word FROM k UNION SELECT {_code(_rc('kmer'), 16)} FROM k) SELECT CASE WHEN word > 0 THEN 1 + (word - 1) // 32768 ELSE word // 32768 END AS bucket, count(*) AS words FROM w GROUP BY 1")
 
+_query("read_anchor_histogram", lambda s, d: refdb.anchor_histogram(kmers.kmers(fixtures.tiles(s, d).select("read_ord", "seq"))), f"WITH {_TILES}, {_kmers('k', 'tiles', 'read_ord')}, a AS (SELECT {_code('right(kmer, 9)', 9)} AS anchor, count(*) AS n FROM k GROUP BY right(kmer, 9)) SELECT anchor, n, (sum(n) OVER (ORDER BY anchor) - n)::BIGINT AS first FROM a")
+_query("reference_memory", lambda s, d: refdb.memory_use(fixtures.refs(s, d), kmers.reference_seeds(fixtures.refs(s, d))), f"WITH {_REFS}, {_kmers('k', 'refs', 'ref_ord')} SELECT (SELECT sum((length(seq) + 3) // 4)::BIGINT FROM refs) AS seq_bytes, (SELECT sum((length(seq) + 7) // 8)::BIGINT FROM refs) AS mask_bytes, (SELECT count(*) * 16 FROM k) AS index_bytes")
+
+
+def _database(s: SparkSession, d: str, prescreen: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """A database written and opened again."""
+    path = fixtures.folder(s, "database")
+    refdb.build_db(fixtures.refs(s, d), path, index=True, word_set=prescreen)
+    return refdb.open_db(s, path, prescreen)
+
+
+_query("database_refs", lambda s, d: _database(s, d)[0], f"WITH {_REFS} SELECT ref_ord, ref_id, seq FROM refs")
+_query("database_index", lambda s, d: _database(s, d)[1], ORACLES["ref_kmers"])
+_query("database_words", lambda s, d: _database(s, d, True)[2], ORACLES["word_set16"])
+
 # ------------------------------------------------------------------- screening
 
 _words = f"{_kmers('w0', 'refs', 'ref_ord', 16)}, words AS (SELECT kmer AS word FROM w0 UNION SELECT {_rc('kmer')} FROM w0)"
@@ -179,6 +247,8 @@ def _prescreened(s: SparkSession, d: str, reads: DataFrame) -> DataFrame:
 
 _query("prescreen", lambda s, d: _prescreened(s, d, fixtures.tiles(s, d)).select("read_ord", "mate", "seq"), f"WITH {_REFS}, {_TILES}, {_screen('tiles')} SELECT read_ord, mate, seq FROM screened")
 
+_query("screened_mates", lambda s, d: ingest.screened_mates(_mates(s, d), _prescreened(s, d, _mates(s, d).withColumn("seq", F.when(F.col("read_ord") % 4 == 0, dna.reverse_complement(F.reverse("seq"))).otherwise(F.col("seq"))))), f"WITH {_PAIR_BASE}, turned AS (SELECT read_ord, read_id, mate, CASE WHEN read_ord % 4 = 0 THEN translate(seq, 'ACGT', 'TGCA') ELSE seq END AS seq FROM mates), {_screen('turned')} SELECT (SELECT count(*) FROM mates WHERE length(seq) > 0) - (SELECT count(*) FROM screened WHERE length(seq) > 0) AS n_screened")
+
 # ---------------------------------------------------------------------- search
 
 
@@ -230,7 +300,27 @@ _query("report_reads", lambda s, d: _report(s, d, fixtures.shots(s, d), SearchPa
 _query("report_pairs", lambda s, d: _report(s, d, _mates(s, d), SearchParams()), f"WITH {_MATE_HITS}, {_marks(SearchParams())} {_report_sql('mates', False)}")
 _query("report_mates", lambda s, d: _report(s, d, _mates(s, d), SearchParams(per_mate=True)), f"WITH {_MATE_HITS}, {_marks(SearchParams(per_mate=True))} {_report_sql('mates', False).replace('m.read_ord = k.read_ord', 'm.read_ord = k.read_ord AND m.mate = k.mate')}")
 _query("prescreened_report", lambda s, d: _report(s, d, _prescreened(s, d, _mates(s, d)), SearchParams()), f"WITH {_PAIR_BASE}, {_screen('mates')}, {_hits('screened')}, {_marks(SearchParams())} {_report_sql('screened', False)}")
-_query("run_summary", lambda s, d: report.run_summary(fixtures.shots(s, d), marking.mark(_shot_hits(s, d), SearchParams(coverage_ratio=0.95))), f"WITH {_HITS}, {_marks(SearchParams(coverage_ratio=0.95))} SELECT (SELECT count(*) FROM shots) AS total_reads, (SELECT count(*) FROM marks) AS mapped")
+_query("run_summary", lambda s, d: report.run_summary(fixtures.shots(s, d), marking.mark(_shot_hits(s, d), SearchParams(coverage_ratio=0.95)), ingest.failed_spots(fixtures.broken_spots(s, d))), f"WITH {_HITS}, {_marks(SearchParams(coverage_ratio=0.95))} SELECT (SELECT count(*) FROM shots) AS total_reads, (SELECT count(*) FILTER (read_ord % 8 IN (4, 6)) FROM (SELECT a.read_ord FROM shots a JOIN shots b ON a.read_ord % 2 = 0 AND b.read_ord = a.read_ord + 1)) AS failed_reads, (SELECT count(*) FROM marks) AS mapped")
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """The reads as a stream of files, a file a batch."""
+    path = fixtures.folder(s, "stream")
+    fixtures.shots(s, d).repartition(3, "read_ord").write.parquet(f"{path}/in")
+    given = s.readStream.schema("read_ord bigint, read_id string, mate int, seq string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    search_stream(given, fixtures.refs(s, d), f"{path}/out", f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return s.read.parquet(f"{path}/out").select("read_ord", "mate", "header", "seq")
+
+
+def _in_batches(s: SparkSession, d: str, dealt: DataFrame) -> DataFrame:
+    refs = fixtures.refs(s, d)
+    found = [marks for _, marks, _ in search_.search_batches(fixtures.shots(s, d), dealt, refs, seeds=kmers.reference_seeds(refs).persist())]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+_query("stream_report", _stream, ORACLES["report_reads"])
+_query("batches_by_count", lambda s, d: _in_batches(s, d, search_.count_batches(fixtures.shots(s, d), 15_000)), ORACLES["mark_reads_default"])
+_query("batches_by_memory", lambda s, d: _in_batches(s, d, batches.memory_batches(fixtures.shots(s, d), fixtures.refs(s, d), 2_000_000)), ORACLES["mark_reads_default"])
 
 # -------------------------------------------------------------------- planning
 

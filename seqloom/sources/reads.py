@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..operators.ingest import interleaved_pairs, read_slice, spot_reads, to_mates, zip_pairs
+from .accessions import read_spots
 from .fastx import read_fastx
 
 
 def open_reads(spark: SparkSession, files: Sequence[str], fmt: str = "fasta", interleaved: bool = False, first: int = 0, last: int | None = None) -> DataFrame:
     """(read_ord, read_id, mate, seq) from one file, two mate files, interleaved
-    records, or (fmt "spots") a Parquet table of spots."""
+    records, or (fmt "sra" or "spots") the spots of an accession or table."""
     if not files:
         raise ValueError("no input")
-    if fmt == "spots":
-        if len(files) > 1:
+    if len(files) > 2 or (len(files) == 2 and interleaved):
+        raise ValueError("input is one file, one interleaved file, or two files of mates")
+    if fmt in ("sra", "spots"):
+        if len(files) > 1 or interleaved:
             raise ValueError("spots have their mates in one table")
-        return to_mates(read_slice(spot_reads(spark.read.parquet(files[0])), first, last))
+        return to_mates(read_slice(spot_reads(read_spots(spark, files[0])), first, last))
     if len(files) == 2:
         pairs = zip_pairs(*(read_fastx(spark, f, fmt) for f in files))
     elif interleaved:

@@ -81,6 +81,67 @@ def test_command_line(spark, tmp_path):
     assert open_references(spark, refs).first().ref_id == "ref1"
 
 
+def test_command_line_batches(spark, tmp_path, capsys):
+    """Batches by count and by memory give the reads of one search; without a folder to standard output."""
+    ref = "ACGTTGCAACCTGATTGACCATGGTACCAGTTCAGGACTTACGA"
+    refs = put(tmp_path / "r.fa", f">ref1\n{ref}\n")
+    reads = put(tmp_path / "q.fa", "".join(f">q{i}\n{ref[i : i + 30] if i % 2 else 'AC' * 20}\n" for i in range(9)))
+    main(["mkdb", "-i", refs, "-o", str(tmp_path / "db")], spark)
+    want = "".join(f">q{i} 1 30\n{ref[i : i + 30]}\n" for i in range(1, 9, 2))
+    search = ["search", "-d", str(tmp_path / "db"), "-i", reads, "-c", "0.9"]
+    main(search, spark)
+    assert capsys.readouterr().out == want
+    for extra in (["-b", "4"], ["-M", "1"]):
+        main([*search, *extra], spark)
+        assert capsys.readouterr().out == want
+    main([*search, "-b", "4", "-o", str(tmp_path / "out")], spark)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=0", "batch=1", "batch=2"]
+    with pytest.raises(ValueError, match="at least one"):
+        main([*search, "--batch-size=-1"], spark)
+
+
+def test_accessions(spark, tmp_path, capsys):
+    from seqloom.sources import accessions
+    from seqloom.sources.reads import open_reads
+
+    ref = "ACGTTGCAACCTGATTGACCATGGTACCAGTTCAGGACTTACGA"
+    data = [(0, [ref[:30], ref[10:40]]), (1, None), (2, [ref[5:40]]), (3, []), (4, ["AC" * 20, "A", "C"])]
+    spark.createDataFrame([("x", *row) for row in data], accessions.SPOT).write.parquet(str(tmp_path / "RUN7.parquet"))
+    accessions.register("RUN", accessions.tables(str(tmp_path)))
+    got = sorted((r.read_ord, r.read_id, r.mate, r.seq) for r in open_reads(spark, ["RUN7"], "sra").collect())
+    assert got == [(0, "RUN7.1", 0, ref[:30]), (0, "RUN7.1", 1, ref[10:40]), (2, "RUN7.3", 0, ref[5:40]), (4, "RUN7.5", 0, "AC" * 20)]
+    with pytest.raises(ValueError, match="no reader"):
+        open_reads(spark, ["OTHER1"], "sra")
+    main(["mkdb", "-i", put(tmp_path / "r.fa", f">ref1\n{ref}\n"), "-o", str(tmp_path / "db")], spark)
+    main(["search", "-d", str(tmp_path / "db"), "-i", "RUN7", "-F", "sra"], spark)
+    assert [x.split(" ")[0] for x in capsys.readouterr().out.splitlines()[::2]] == [">RUN7.1.1", ">RUN7.1.2", ">RUN7.3"]
+
+
+def test_refused_input(spark, tmp_path):
+    """No file is dropped in silence, no old index is used, ids may be asked to differ."""
+    from seqloom.operators.ingest import require_unique
+    from seqloom.operators.refdb import build_db, open_db
+    from seqloom.sources.reads import open_reads
+
+    f = put(tmp_path / "a.fa", ">a\nACGT\n>a\nAC\n")
+    for files, interleaved in (([f, f, f], False), ([f, f], True), ([], False)):
+        with pytest.raises(ValueError):
+            open_reads(spark, files, interleaved=interleaved)
+    assert open_reads(spark, [f]).count() == 2
+    with pytest.raises(Exception, match="duplicate id: a"):
+        require_unique(open_reads(spark, [f])).collect()
+    with pytest.raises(Exception, match="not a strand"):
+        spark.range(1).select(dna.strand_of(F.lit("x"))).collect()
+    one, two = (spark.createDataFrame([(0, "r", s)], "ref_ord bigint, ref_id string, seq string") for s in ("ACGTTGCAACCTGATTGACCATGG", "TTTTTGCAACCTGATTGACCATGGA"))
+    path = str(tmp_path / "db")
+    build_db(one, path, index=True, word_set=True)
+    assert open_db(spark, path, True)[2].count() > 0
+    build_db(two, path)
+    assert open_db(spark, path)[1].count() == 2 * (25 - 20)
+    with pytest.raises(ValueError, match="no word set"):
+        open_db(spark, path, True)
+
+
 def test_stream(spark, tmp_path):
     from seqloom.streaming.search import search_stream
 
