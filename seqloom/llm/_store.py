@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 
 def _local(folder: str) -> str | None:
@@ -38,6 +39,12 @@ def write_array(folder: str, name: str, array: np.ndarray) -> None:
     store.move(f"{path}/{temporary}", f"{path}/{name}")
 
 
+def names(spark: SparkSession, folder: str) -> set[str]:
+    """The files of a folder, by one listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return {f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+
+
 def map_array(folder: str, name: str, dtype) -> np.ndarray:
     if local := _local(folder):
         path = f"{local}/{name}"

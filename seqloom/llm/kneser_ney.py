@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import _LOWER, U64, arrow_map, chunks, column, mix, new_path, stage, table, text_bytes, word_hashes, words
-from ._store import map_array, write_array
+from ._store import map_array, names, write_array
 
 #: Tokens that a task sums at once; distinct words of a shard; tokens of a bucket.
 SUMMED, SHARD, BUCKET = 4_000_000, 250_000, 2_000_000
@@ -269,7 +269,7 @@ def _sum_bigrams(layout: Layout):
     return run
 
 
-_SUMS = "id long, one long, two long, three long, four long, more long, before long"
+_SUMS = "shard long, id long, one long, two long, three long, four long, more long, before long"
 
 
 def _write_bigrams(layout: Layout):
@@ -297,7 +297,8 @@ def _write_bigrams(layout: Layout):
             table = np.zeros((len(contexts) + len(followers), 7), np.int64)
             table[: len(contexts), 0], table[: len(contexts), 1:6] = contexts, kinds
             table[len(contexts) :, 0], table[len(contexts) :, 6] = followers, before
-            return pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(7)], names=["id", *CONTEXT])
+            shard = np.searchsorted(layout.offsets, table[:, 0], "right") - 1
+            return pa.RecordBatch.from_arrays([pa.array(shard), *(pa.array(table[:, k]) for k in range(7))], names=["shard", "id", *CONTEXT])
 
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -348,6 +349,8 @@ def train(texts: DataFrame) -> Layout:
         if s not in by_shard:
             write_array(folder, f"words-{s}", np.empty(0, U64))
         offsets.append(offsets[-1] + (by_shard[s].words if s in by_shard else 0))
+    if offsets[-1] >= 1 << 32:
+        raise ValueError("more words than 32-bit ids")
     total = sum(r.tokens for r in sizes)
     buckets = max(1, -(-total // BUCKET))
     layout = Layout(folder, offsets, buckets, max(total // buckets // 4, 1), total=total)
@@ -356,13 +359,13 @@ def train(texts: DataFrame) -> Layout:
     ids, counts = arrays(layout).ids(np.array([END]))
     layout.end, layout.hot_end = int(ids[0]), int(counts[0])
     blocks = arrow_map(texts, _sum_bigrams(layout), "bucket long, block binary").repartition(layout.buckets, "bucket").sortWithinPartitions("bucket")
-    sums = arrow_map(blocks, _write_bigrams(layout), _SUMS).groupBy("id").agg(*(F.sum(k).alias(k) for k in CONTEXT))
-    bounds = F.array(*map(F.lit, offsets[1:]))
-    shard = F.size(F.filter(bounds, lambda x: x <= F.col("id"))).cast("long")
-    rows = arrow_map(sums.withColumn("shard", shard).repartition(shards, "shard").select("shard", "id", *CONTEXT), _write_contexts(layout), ", ".join(f"c{k} long" for k in range(10))).collect()  # a row for each shard
+    sums = arrow_map(blocks, _write_bigrams(layout), _SUMS).groupBy("shard", "id").agg(*(F.sum(k).alias(k) for k in CONTEXT))
+    rows = arrow_map(sums.repartition(shards, "shard").select("shard", "id", *CONTEXT), _write_contexts(layout), ", ".join(f"c{k} long" for k in range(10))).collect()  # a row for each shard
     c = np.array([list(r) for r in rows], np.int64).sum(0)
+    known = names(spark, folder)
     for k in range(layout.buckets):
-        _touch(layout, k)
+        if f"keys-{k}" not in known:  # a bucket without bigrams is an empty array
+            write_array(folder, f"keys-{k}", np.empty(0, U64))
     layout.discount = discounts(c[:4].tolist())
     layout.discount_words = discounts(c[4:8].tolist())
     layout.bigrams = int(c[9])
@@ -371,14 +374,6 @@ def train(texts: DataFrame) -> Layout:
     return layout
 
 
-def _touch(layout: Layout, bucket: int) -> None:
-    """A bucket without bigrams is an empty array."""
-    try:
-        map_array(layout.folder, f"keys-{bucket}", U64)
-    except OSError:
-        write_array(layout.folder, f"keys-{bucket}", np.empty(0, U64))
-
-
 # -------------------------------------------------------------------- scoring
 
 
