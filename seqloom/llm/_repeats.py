@@ -16,6 +16,9 @@ long: one row where the windows would have been many.
    contents (the paths branch), the first place of each is left ``open``.
 3. Open fragments are few; the operators look at their single windows.
 
+``traced`` verdicts carry the source of each copy: the first place of its content in
+the task that settled it, or else in the corpus.  It is always an earlier place.
+
 Places are (_did, _key, start), in that order.  Lone anchors of a task may hold
 memory of at most ``FLUSH`` fragments.
 """
@@ -37,6 +40,8 @@ _LOW = U64((1 << 24) - 1)
 
 #: state: 0 alone so far, 1 has copies elsewhere in its task; 2 settled copy.
 FRAGMENTS = "anchor long, content long, _did long, _key long, start int, n int, state tinyint"
+TRACED = f"{FRAGMENTS}, source struct<did:long,key:long,start:int>"
+_SOURCE = ("sdid", "skey", "sstart")
 _TYPES = {"anchor": pa.int64(), "content": pa.int64(), "_did": pa.int64(), "_key": pa.int64(), "start": pa.int32(), "n": pa.int32(), "state": pa.int8()}
 
 
@@ -87,7 +92,7 @@ def _rows(cols: dict[str, np.ndarray], types: dict = _TYPES) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[k].view(np.int64) if cols[k].dtype == U64 else cols[k], type=t) for k, t in types.items()], names=list(types))
 
 
-def _settle(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+def _settle(held: list[dict[str, np.ndarray]], traced: bool) -> pa.RecordBatch:
     """One task's fragments: later copies become settled rows (state 2)."""
     c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
     order = np.lexsort((c["start"], c["_key"], c["_did"], c["content"], c["anchor"]))
@@ -106,11 +111,17 @@ def _settle(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
     # what is settled no longer meets by anchor; its rows are dealt by place
     settled = state == 2
     c["anchor"] = np.where(settled, mix(c["_did"].view(U64) + c["start"].astype(U64)), c["anchor"])
-    return _rows(c | {"state": state})
+    out = _rows(c | {"state": state})
+    if not traced:
+        return out
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+    places = [pa.array(c[k][first], type=_TYPES[k]) for k in ("_did", "_key", "start")]
+    source = pa.StructArray.from_arrays(places, names=["did", "key", "start"], mask=pa.array(~settled))
+    return pa.RecordBatch.from_arrays([*out.columns, source], names=[*out.schema.names, "source"])
 
 
-def fragment_rows(extract: Callable[[pa.RecordBatch], Iterator[dict[str, np.ndarray]]]) -> Callable:
-    """mapInArrow function: fragments of texts as rows of FRAGMENTS."""
+def fragment_rows(extract: Callable[[pa.RecordBatch], Iterator[dict[str, np.ndarray]]], traced: bool) -> Callable:
+    """mapInArrow function: fragments of texts as rows of FRAGMENTS or TRACED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -120,19 +131,20 @@ def fragment_rows(extract: Callable[[pa.RecordBatch], Iterator[dict[str, np.ndar
                     held.append(got)
                     size += len(got["start"])
                 if size >= FLUSH:
-                    yield _settle(held)
+                    yield _settle(held, traced)
                     held, size = [], 0
         if held:
-            yield _settle(held)
+            yield _settle(held, traced)
 
     return run
 
 
 VERDICTS = "anchor long, _did long, _key long, start int, n int, open boolean, copy boolean"
 _VERDICTS = {"anchor": pa.int64(), "_did": pa.int64(), "_key": pa.int64(), "start": pa.int32(), "n": pa.int32(), "open": pa.bool_(), "copy": pa.bool_()}
+_TRACES = {"sdid": pa.int64(), "skey": pa.int64(), "sstart": pa.int32()}
 
 
-def _judge(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], both: bool, traced: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (anchor, content, place) -> verdicts, as a stream.
 
     Only the first row of the content at hand waits, until another content or
@@ -141,10 +153,14 @@ def _judge(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordB
     wait: dict[str, np.ndarray] | None = None
     last: tuple = ()
     branch = copied = False  # of the waiting row: its anchor had a content before; it has copies
+    types = _VERDICTS | _TRACES if traced else _VERDICTS
     for batch in batches:
         if not batch.num_rows:
             continue
         c = {k: column(batch, k) for k in _TYPES}
+        if traced:
+            source = batch.column(batch.schema.get_field_index("source"))
+            c |= {k: source.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i, k in enumerate(_SOURCE)}
         if wait is not None:
             c = {k: np.concatenate([wait[k], c[k]]) for k in c}
         n = len(c["anchor"])
@@ -168,8 +184,11 @@ def _judge(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordB
         hold = int(np.flatnonzero(new_c)[-1])
         give = is_open | copy
         give[hold] = False
+        if traced:
+            first = np.flatnonzero(new_c)[path]
+            trace = {s: np.where(settled, c[s], c[k][first])[give] for s, k in zip(_SOURCE, ("_did", "_key", "start"))}
         if give.any():
-            yield _rows({k: c[k][give] for k in ("anchor", "_did", "_key", "start", "n")} | {"open": is_open[give], "copy": copy[give]}, _VERDICTS)
+            yield _rows({k: c[k][give] for k in ("anchor", "_did", "_key", "start", "n")} | {"open": is_open[give], "copy": copy[give]} | (trace if traced else {}), types)
         branch = not new_a[hold] or (hold == 0 and branch)
         copied = bool(many[-1])
         wait = {k: v[[hold]] for k, v in c.items()}
@@ -178,14 +197,15 @@ def _judge(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordB
         settled = bool(wait["state"][0] == 2)
         is_open, copy = branch and not settled, settled or (both and copied)
         if is_open or copy:
-            yield _rows({k: wait[k] for k in ("anchor", "_did", "_key", "start", "n")} | {"open": np.array([is_open]), "copy": np.array([copy])}, _VERDICTS)
+            trace = {s: wait[s if settled else k] for s, k in zip(_SOURCE, ("_did", "_key", "start"))} if traced else {}
+            yield _rows({k: wait[k] for k in ("anchor", "_did", "_key", "start", "n")} | {"open": np.array([is_open]), "copy": np.array([copy])} | trace, types)
 
 
-def verdicts(docs: DataFrame, extract: Callable, both: bool, label: str) -> DataFrame:
+def verdicts(docs: DataFrame, extract: Callable, both: bool, label: str, traced: bool = False) -> DataFrame:
     """Staged verdicts on the fragments of ``docs`` (doc_id, text, _did, _key)."""
-    rows = arrow_map(docs.select("_did", "_key", "text"), fragment_rows(extract), FRAGMENTS)
+    rows = arrow_map(docs.select("_did", "_key", "text"), fragment_rows(extract, traced), TRACED if traced else FRAGMENTS)
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "content", "_did", "_key", "start")
-    return stage(arrow_map(dealt, lambda batches: _judge(batches, both), VERDICTS), label)
+    return stage(arrow_map(dealt, lambda batches: _judge(batches, both, traced), f"{VERDICTS}, sdid long, skey long, sstart int" if traced else VERDICTS), label)
 
 
 def spans_by_text(spans: DataFrame) -> DataFrame:

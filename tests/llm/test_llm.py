@@ -620,6 +620,20 @@ def test_substrings_random(spark):
             assert (x.n_removed, x.kept) == (len(out), " ".join(v for k, v in enumerate(w) if k not in out))
 
 
+def test_paths_are_compacted_and_verified(spark):
+    """Chains become one path where place and source go on alike; a span whose words differ from its source's is left."""
+    text = [f"w{i}" for i in range(600)]
+    docs = spark.createDataFrame([(1, 0, " ".join(text)), (2, 0, "  ".join(text[:300] + ["other"] + text[301:])), (3, 0, " ".join(text[100:]))], "_did bigint, _key bigint, text string")
+    pieces = [(2, 0, s, 7, 1, 0, s) for s in range(0, 280, 7)] + [(2, 0, 301, 50, 1, 0, 301), (2, 0, 351, 229, 1, 0, 351)]
+    pieces += [(3, 0, 0, 100, 1, 0, 100), (3, 0, 100, 200, 2, 0, 200), (3, 0, 300, 100, 1, 0, 400), (3, 0, 400, 81, 1, 0, 500)]
+    df = substring_dedup.stage(spark.createDataFrame(pieces, "_did bigint, _key bigint, start int, n int, sdid bigint, skey bigint, sstart int"), "pieces")
+    paths = substring_dedup.compacted(df)
+    want = {(2, 0, 0, 280, 1, 0, 0), (2, 0, 301, 279, 1, 0, 301), (3, 0, 0, 100, 1, 0, 100), (3, 0, 100, 200, 2, 0, 200), (3, 0, 300, 181, 1, 0, 400)}
+    assert {tuple(r) for r in paths.select(*substring_dedup.PLACES).collect()} == want
+    got = {tuple(r) for r in substring_dedup.verified(docs, paths, 20).collect()}
+    assert got == {x[:4] for x in want if x[3] != 200}
+
+
 def test_substrings_odd(spark, odd):
     got = {(x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.substring_dedup(odd).collect()}
     assert {(None, 120, 0), (3, 120, 120), (4, 120, 120), (5, 121, 120), (1, 0, 0), (2, 0, 0)} <= got
