@@ -71,6 +71,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    for file in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def python_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of the Arrow batches that Python receives."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

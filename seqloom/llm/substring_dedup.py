@@ -9,13 +9,16 @@ edges that occur again matter.
   compacted into one edge, which travels and is settled as one row.
 * Where contents differ (the graph branches), the stretch is expanded into its
   single edges by a join with the texts; these meet by a 128-bit hash.
-* Each settled edge carries its source coordinates (document, start, length).
-  The first place of an edge stays; a join by document brings the coordinates of
-  later places to the texts, where every span is verified to lie inside its text
-  and overlapping spans unite.
+* Every later place carries its source, an earlier place of the same path.  Joins
+  compact the paths: pieces that follow each other in the place as in its source have
+  a node between them that does not branch there, and become one.
+* The long spans are verified at both coordinates: a join with the texts gives a
+  128-bit digest of the words themselves (BLAKE2b) at the place and at the source, and
+  only spans with equal digests are removed.  The first place of a path stays.
 
-Equality is that of two independent 64-bit hashes over the 64-bit hashes of the
-tokens.  Results do not depend on partitions, batches or retries.
+Candidates meet by 64-bit hashes (a stretch by its anchor's and its content's); what is
+removed was equal word for word, up to collisions of the digest.  Results do not depend
+on partitions, batches or retries.
 
 Defined cases: null and empty texts have no words and come back unchanged (null
 text as empty in the digest); null doc_ids sort before all others; rows repeated
@@ -27,6 +30,7 @@ Memory grows with the longest single text, not with a group of copies.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats
-from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, rewrite, span_hash, stage, table, text_bytes, word_hashes, words
+from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, rewrite, span_hash, stage, table, text_bytes, unstage, word_hashes, words
 
 WINDOW = 20
 GRAM = 8
@@ -85,8 +89,12 @@ def _edges(window: int):
     return run
 
 
+TEXT = ["_did", "_key"]
+PLACES = [*TEXT, "start", "n", "sdid", "skey", "sstart"]
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges sorted by hash and place: all but those at the first place."""
+    """Edges sorted by hash and place: all but those at the first place, with it."""
     head = None
     for batch in batches:
         if not batch.num_rows:
@@ -106,17 +114,80 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if i >= 0:
             head = (h1[i], h2[i], did[i], key[i], start[i])
         if later.any():
-            yield pa.RecordBatch.from_arrays([pa.array(did[later]), pa.array(key[later]), pa.array(start[later]), pa.array(np.ones(later.sum(), np.int32))], names=["_did", "_key", "start", "n"])
+            columns = [did[later], key[later], start[later], np.ones(later.sum(), np.int32), *(v[later].astype(x.dtype) for v, x in zip(same, (did, key, start)))]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=PLACES)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_did, _key, start, n): windows of ``keyed`` docs that started earlier."""
-    known = _repeats.verdicts(docs, _fragments(window, gram), False, "debruijn")
+    known = _repeats.verdicts(docs, _fragments(window, gram), False, "debruijn", traced=True)
     branching = _repeats.spans_by_text(known.filter("open and not copy").select("_did", "_key", "start", "n"))
     joined = docs.select("_did", "_key", "text").join(branching, ["_did", "_key"])
     edges = arrow_map(joined, _edges(window), EDGES).repartition("first").sortWithinPartitions("first", "second", "_did", "_key", "start")
-    later = arrow_map(edges, _later, "_did long, _key long, start int, n int")
-    return stage(known.filter("copy").select("_did", "_key", "start", "n").unionByName(later), "debruijn-spans")
+    later = arrow_map(edges, _later, "_did long, _key long, start int, n int, sdid long, skey long, sstart int")
+    found = known.filter("copy").select(*PLACES).unionByName(later)
+    # one piece for each place: repeated rows may have been settled in several tasks
+    pieces = found.groupBy(*TEXT, "start").agg(F.max(F.struct("n", "sdid", "skey", "sstart")).alias("piece")).select(*TEXT, "start", "piece.*")
+    return stage(verified(docs, compacted(stage(pieces, "debruijn-pieces")), window), "debruijn-spans")
+
+
+def compacted(pieces: DataFrame) -> DataFrame:
+    """Pieces (staged, one for each place) united to paths by joins.
+
+    A node between two pieces does not branch if they meet in the place and in its
+    source alike.  Each piece first points to the one before it, then, round by
+    round, to where that one points; so a path of n pieces takes log2(n) joins.
+    """
+    before = pieces.select(*TEXT, "sdid", "skey", (F.col("start") + F.col("n")).alias("start"), (F.col("sstart") + F.col("n")).alias("sstart"), F.col("start").alias("up"))
+    linked = pieces.join(before, [*TEXT, "start", "sdid", "skey", "sstart"], "left")
+    chain = stage(linked.groupBy(*TEXT, "start").agg(F.coalesce(F.min("up"), "start").alias("up")), "debruijn-chain")
+    while True:
+        above = chain.select(*TEXT, F.col("start").alias("up"), F.col("up").alias("top"))
+        moved = stage(chain.join(above, [*TEXT, "up"]).select(*TEXT, "start", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")), "debruijn-chain")
+        unstage(chain)
+        chain = moved
+        if chain.filter("moved").isEmpty():
+            break
+    paths = pieces.join(chain.select(*TEXT, "start", "up"), [*TEXT, "start"]).groupBy(*TEXT, "up", "sdid", "skey").agg(F.min("sstart").alias("sstart"), F.sum("n").cast("int").alias("n"))
+    return stage(paths.select(*TEXT, F.col("up").alias("start"), "n", "sdid", "skey", "sstart"), "debruijn-paths")
+
+
+def _digests(window: int):
+    """A digest of the words under each span of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                raw, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
+                data = raw.tobytes()
+                starts, ends, bounds = words(raw, offsets)
+                rows, first, n, digest = [], [], [], []
+                for i, spans in enumerate(part.column(part.schema.get_field_index("spans"))):
+                    a, b = bounds[i], bounds[i + 1]
+                    text = b" ".join([data[x:y] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())])
+                    at = np.concatenate([[0], np.cumsum(ends[a:b] - starts[a:b] + 1)]).tolist()
+                    for x, count in zip(*(spans.values.field(k).to_pylist() for k in (0, 1))):
+                        stop = x + count + window - 1
+                        if 0 <= x and stop < len(at):
+                            rows.append(i)
+                            first.append(x)
+                            n.append(count)
+                            digest.append(hashlib.blake2b(text[at[x] : at[stop] - 1], digest_size=16).digest())
+                took = np.array(rows, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(column(part, "_did")[took]), pa.array(column(part, "_key")[took]), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(digest, pa.binary())], names=[*TEXT, "start", "n", "digest"])
+
+    return run
+
+
+def verified(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """(_did, _key, start, n) of the paths whose words are those of their source."""
+    sources = paths.select(F.col("sdid").alias("_did"), F.col("skey").alias("_key"), F.col("sstart").alias("start"), "n")
+    asked = _repeats.spans_by_text(paths.select(*TEXT, "start", "n").unionByName(sources).distinct())
+    joined = docs.select(*TEXT, "text").join(asked, TEXT)
+    told = arrow_map(joined, _digests(window), "_did long, _key long, start int, n int, digest binary")
+    told = stage(told.dropDuplicates([*TEXT, "start", "n"]), "debruijn-words")
+    source = told.select(F.col("_did").alias("sdid"), F.col("_key").alias("skey"), F.col("start").alias("sstart"), "n", F.col("digest").alias("other"))
+    return paths.join(told, [*TEXT, "start", "n"]).join(source, ["sdid", "skey", "sstart", "n"]).filter("digest = other").select(*TEXT, "start", "n")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, removed array<struct<start:int,stop:int>>, kept string"
@@ -182,7 +253,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their spacing, and may become empty.
     """
     rows = keyed_rows(docs, id_col, text_col)
-    spans = _repeats.spans_by_text(repeated_spans(keyed(docs, id_col, text_col), window, gram))
+    texts = rows.select(*TEXT, F.coalesce("_text", F.lit("")).alias("text"))
+    spans = _repeats.spans_by_text(repeated_spans(texts, window, gram))
 
     def without(text: str, found: pa.Array) -> str:
         return cut(text, found.field(0).to_numpy(), found.field(1).to_numpy(), window)
