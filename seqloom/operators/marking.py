@@ -1,7 +1,7 @@
 """Marking reads: runs on a diagonal, bands of diagonals, the first success.
 
-All steps group by (read_ord, mate, strand, ref_ord) and more, so one exchange by
-read serves them all.
+All steps on hits group by (read_ord, mate, strand, ref_ord) and more, so one exchange
+serves them; the few bands that qualify meet by read.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def mark(hits: DataFrame, params: SearchParams = SearchParams()) -> DataFrame:
     """(read_ord, mate, len, covered_bases): the first success of each read, or of
     each mate; groups in the order of mate, strand, reference; a run before bands,
     bands by diagonal."""
-    hits = hits.repartition("read_ord")
+    hits = hits.repartition(*GROUP)
     results = []
     if params.continuous_bases > SEED:
         runs = _run_rows(hits).withColumn("clen", F.col("readpos") - F.col("run_start") + SEED).filter(F.col("clen") >= params.continuous_bases)
