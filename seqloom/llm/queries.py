@@ -18,4 +18,4 @@ QUERIES = {
 }
 
 #: The others cannot be said in SQL; tests hold them against brute force.
-ORACLES = {"op6_mtree": mtree.ORACLE, "op7_host_quality": host_quality.ORACLE, "op8_debruijn": substring_dedup.ORACLE}
+ORACLES = {"op6_mtree": mtree.ORACLE, "op7_host_quality": host_quality.ORACLE, "op8_debruijn": substring_dedup.ORACLE, "op10_suffix_array": suffix_dedup.ORACLE}

@@ -397,3 +397,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All copies go: a string that starts anywhere else, earlier or later."""
     found = suffix_dedup(table(spark, sf_dir, "documents"), keep="none")
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as byte strings by DuckDB; removed runs; what lies between them.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, s, md5(b[s + 1:s + 400]) AS k FROM (SELECT r, b, unnest(range(0, octet_length(b) - 399)) AS s FROM d WHERE octet_length(b) >= 400)),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+runs AS (SELECT r, s, (s > coalesce(lag(s) OVER (PARTITION BY r ORDER BY s) + 400, -1))::INT AS begins FROM again),
+spans AS (SELECT r, min(s) AS a, max(s) + 400 AS z FROM (SELECT r, s, sum(begins) OVER (PARTITION BY r ORDER BY s) AS g FROM runs) GROUP BY r, g),
+sums AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+gaps AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS z FROM spans UNION ALL SELECT r, max(z), NULL FROM spans GROUP BY r),
+kept AS (SELECT gaps.r, string_agg(hex(b[gaps.a + 1:coalesce(gaps.z, octet_length(b))]), '' ORDER BY gaps.a) AS h FROM gaps JOIN d ON gaps.r = d.r GROUP BY gaps.r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN sums ON d.r = sums.r LEFT JOIN kept ON d.r = kept.r
+"""
