@@ -329,6 +329,8 @@ def _dense(members: DataFrame, rooted: DataFrame, width: int, similarity: float)
                 a, b = (np.flatnonzero(own == batch.column(k)[i].as_py()) for k in (0, 1))
                 x, y = close_pairs(prints[a], prints[b], root[a], root[b], limit)
                 x, y = a[x], b[y]
+                if batch.column(0)[i] == batch.column(1)[i]:  # a side meets itself: each pair once
+                    x, y = x[x < y], y[x < y]
                 # a pair is given out under the least key that both have
                 key, keys = batch.column(3)[i].as_py(), {j: set(all_.field("all_keys")[j].as_py()) for j in {*x.tolist(), *y.tolist()}}
                 least = np.array([min(keys[j] & keys[k]) == key for j, k in zip(x.tolist(), y.tolist())], bool)
