@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from .shipping import shared_root
 
 TILE = 150
 
@@ -75,10 +75,8 @@ def broken_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A new folder that executors see (a private one where no checkpoint folder is
-    set, as in tests), gone when the application ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    """A new folder that executors see, gone when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return path.toString()
 
