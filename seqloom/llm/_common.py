@@ -2,16 +2,17 @@
 
 Staging.  Lineage is cut by writing a table to the folder that the cluster
 names in ``spark.checkpoint.dir`` (shared by driver and executors), never by a
-local checkpoint.  Only where the setting is absent, as in tests, a folder of
-this process is used.  Staged tables are deleted when the application ends.
+local checkpoint.  Only a local session may do without the setting.  Staged tables are
+deleted when the application ends, or earlier (``unstage``).
 """
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..plans.shipping import ship
+from ..plans.shipping import shared_root, ship
 
 U64 = np.uint64
 MIN_LONG = -(2**63)
@@ -29,24 +30,13 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows handed to Python at once; long texts then stay within bounded batches.
 BATCH_ROWS = 500
-
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a private one only where none is set."""
-    global _local_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="seqloom-")
-    return f"file://{_local_dir}"
+#: The folders staged by the functions that tidy up, by thread.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
@@ -61,6 +51,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    for scope in _scopes.get():
+        scope.append(path)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
@@ -71,11 +63,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
-    for file in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def tidy(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """What the function staged and its result does not read is deleted at its end."""
+
+    @wraps(function)
+    def run(*args, **options) -> DataFrame:
+        scope: list[str] = []
+        outer = _scopes.set((*_scopes.get(), scope))
+        try:
+            out = function(*args, **options)
+        finally:
+            _scopes.reset(outer)
+        read = {name.split("/")[-2] for name in out.inputFiles()}
+        for folder in scope:
+            if folder.split("/")[-1] not in read:
+                _delete(out.sparkSession, folder)
+        return out
+
+    return run
 
 
 def python_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

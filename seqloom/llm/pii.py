@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _LOWER, arrow_map, chunks, keyed, keyed_rows, rewrite, stage, table, text_bytes, word_hashes, words
+from ._common import _LOWER, arrow_map, chunks, keyed, keyed_rows, rewrite, stage, table, text_bytes, tidy, word_hashes, words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3
@@ -282,6 +282,7 @@ def disclosing(found: DataFrame, near: DataFrame, docs: DataFrame, support: int
     return joined.filter((ic > 0) & (pmi >= generalise * ic)).select("entity", "term", (pmi >= remove * ic).alias("removed"))
 
 
+@tidy
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per document: the base counts and digest, and ``found``: all spans
     (start, kind number, stop, removed), sorted."""

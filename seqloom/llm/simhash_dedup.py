@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import _LETTER, _LOWER, U64, arrow_map, chunks, mix, stage, table, text_bytes, word_hashes, words
+from ._common import _LETTER, _LOWER, U64, arrow_map, chunks, mix, stage, table, text_bytes, tidy, word_hashes, words
 from ._components import components
 from ._repeats import gram_hashes
 
@@ -145,6 +145,7 @@ def links(fps: DataFrame, distance: int = 2, blocks: int = BLOCKS, crowd: int =
     return pairs.unionByName(near)
 
 
+@tidy
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, blocks: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -231,6 +232,7 @@ def _apart(u: str, v: str) -> Column:
     return F.bit_count(F.col(u).bitwiseXOR(F.col(v)))
 
 
+@tidy
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, similarity: float = SIMILARITY, crowd: int = FEW) -> DataFrame:
     """doc_id, component_id of documents alike by shingles of ``size`` words.
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats
-from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, rewrite, span_hash, stage, table, text_bytes, unstage, word_hashes, words
+from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, rewrite, span_hash, stage, table, text_bytes, tidy, unstage, word_hashes, words
 
 WINDOW = 20
 GRAM = 8
@@ -118,6 +118,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=PLACES)
 
 
+@tidy
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_did, _key, start, n): windows of ``keyed`` docs that started earlier."""
     known = _repeats.verdicts(docs, _fragments(window, gram), False, "debruijn", traced=True)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _repeats
-from ._common import _TABLE, arrow_map, byte_sums, chunks, column, keyed, mix, span_hash, stage, table, text_bytes
+from ._common import _TABLE, arrow_map, byte_sums, chunks, column, keyed, mix, span_hash, stage, table, text_bytes, tidy
 
 LENGTH = 400
 GRAM = 64
@@ -344,6 +344,7 @@ def _hot_spans(hot: DataFrame, length: int, both: bool) -> DataFrame:
     return arrow_map(blocks.repartition("bucket").sortWithinPartitions("bucket"), _window_spans(both), SPANS)
 
 
+@tidy
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "first", hot: int = HOT) -> DataFrame:
     """(_did, _key, start, n): starts of strings that occur elsewhere as well
     (keep="none") or earlier (keep="first"), of ``keyed`` docs."""
