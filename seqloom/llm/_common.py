@@ -3,7 +3,7 @@
 Staging.  Lineage is cut by writing a table to the folder that the cluster
 names in ``spark.checkpoint.dir`` (shared by driver and executors), never by a
 local checkpoint.  Only a local session may do without the setting.  Staged tables are
-deleted when the application ends, or earlier (``unstage``).
+deleted when the application ends, or earlier (``tidy``).
 """
 
 from __future__ import annotations
@@ -68,12 +68,6 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
-
-
 def tidy(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """What the function staged and its result does not read is deleted at its end."""
 

@@ -9,12 +9,12 @@ edges that occur again matter.
   compacted into one edge, which travels and is settled as one row.
 * Where contents differ (the graph branches), the stretch is expanded into its
   single edges by a join with the texts; these meet by a 128-bit hash.
-* Every later place carries its source, an earlier place of the same path.  Joins
-  compact the paths: pieces that follow each other in the place as in its source have
-  a node between them that does not branch there, and become one.
-* The long spans are verified at both coordinates: a join with the texts gives a
-  128-bit digest of the words themselves (BLAKE2b) at the place and at the source, and
-  only spans with equal digests are removed.  The first place of a path stays.
+* Every later place carries its source, an earlier place of the same path.  A join of
+  each piece with the one before it finds the nodes that do not branch: both go on in
+  the place as in its source.  Pieces with such a node between them are one path.
+* The long spans are verified at both coordinates: joins with the texts and of both
+  ends give a 128-bit digest of the words themselves (BLAKE2b) at the place and at the
+  source, and only spans with equal digests are removed.  A path's first place stays.
 
 Candidates meet by 64-bit hashes (a stretch by its anchor's and its content's); what is
 removed was equal word for word, up to collisions of the digest.  Results do not depend
@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _repeats
-from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, rewrite, span_hash, stage, table, text_bytes, tidy, unstage, word_hashes, words
+from ._common import _FIRST, _SECOND, arrow_map, chunks, column, keyed, keyed_rows, mix, prefix_sums, rewrite, span_hash, stage, table, text_bytes, tidy, word_hashes, words
 
 WINDOW = 20
 GRAM = 8
@@ -127,30 +127,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     edges = arrow_map(joined, _edges(window), EDGES).repartition("first").sortWithinPartitions("first", "second", "_did", "_key", "start")
     later = arrow_map(edges, _later, "_did long, _key long, start int, n int, sdid long, skey long, sstart int")
     found = known.filter("copy").select(*PLACES).unionByName(later)
-    # one piece for each place: repeated rows may have been settled in several tasks
-    pieces = found.groupBy(*TEXT, "start").agg(F.max(F.struct("n", "sdid", "skey", "sstart")).alias("piece")).select(*TEXT, "start", "piece.*")
-    return stage(verified(docs, compacted(stage(pieces, "debruijn-pieces")), window), "debruijn-spans")
+    return stage(verified(docs, stage(compacted(found), "debruijn-paths"), window), "debruijn-spans")
 
 
 def compacted(pieces: DataFrame) -> DataFrame:
-    """Pieces (staged, one for each place) united to paths by joins.
+    """Pieces united to paths.
 
-    A node between two pieces does not branch if they meet in the place and in its
-    source alike.  Each piece first points to the one before it, then, round by
-    round, to where that one points; so a path of n pieces takes log2(n) joins.
+    A piece that joins the end of another, in the place and in its source alike, goes
+    on with its path; any other begins one.  Paths of one place and source lie on one
+    diagonal, so a running count of beginnings names them, without a round of joins
+    for each doubling of the length.  Pieces that overlap are one path as well.
     """
-    before = pieces.select(*TEXT, "sdid", "skey", (F.col("start") + F.col("n")).alias("start"), (F.col("sstart") + F.col("n")).alias("sstart"), F.col("start").alias("up"))
-    linked = pieces.join(before, [*TEXT, "start", "sdid", "skey", "sstart"], "left")
-    chain = stage(linked.groupBy(*TEXT, "start").agg(F.coalesce(F.min("up"), "start").alias("up")), "debruijn-chain")
-    while True:
-        above = chain.select(*TEXT, F.col("start").alias("up"), F.col("up").alias("top"))
-        moved = stage(chain.join(above, [*TEXT, "up"]).select(*TEXT, "start", F.col("top").alias("up"), (F.col("top") < F.col("up")).alias("moved")), "debruijn-chain")
-        unstage(chain)
-        chain = moved
-        if chain.filter("moved").isEmpty():
-            break
-    paths = pieces.join(chain.select(*TEXT, "start", "up"), [*TEXT, "start"]).groupBy(*TEXT, "up", "sdid", "skey").agg(F.min("sstart").alias("sstart"), F.sum("n").cast("int").alias("n"))
-    return stage(paths.select(*TEXT, F.col("up").alias("start"), "n", "sdid", "skey", "sstart"), "debruijn-paths")
+    line = [*TEXT, "sdid", "skey", "diagonal"]
+    ends = pieces.withColumns({"end": F.col("start") + F.col("n"), "diagonal": F.col("start") - F.col("sstart")})
+    before = ends.select(*line, F.col("end").alias("start")).distinct().withColumn("goes_on", F.lit(True))
+    linked = ends.join(before, [*line, "start"], "left")
+    order = Window.partitionBy(*line).orderBy("start", "end")
+    numbered = linked.withColumn("path", F.sum(F.col("goes_on").isNull().cast("int")).over(order))
+    paths = numbered.groupBy(*line, "path").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n"), F.min("sstart").alias("sstart"))
+    return paths.select(*PLACES)
 
 
 def _digests(window: int):
