@@ -286,7 +286,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         return base.filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LARGEST))).withColumn("width", F.size("embedding"))
 
     candidates = valid(vectors)
-    some = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()  # at most PIVOTS rows
+    # a few cells for each block's worth of candidates: smaller ones cost more visits than they spare
+    wanted = min(PIVOTS, max(8, 4 * -(-candidates.count() // block)))
+    some = candidates.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()  # at most PIVOTS rows
     pivots = {w: (np.array([i for i, r in enumerate(some) if r.width == w]), np.floor(256.0 * np.array([r.embedding for r in some if r.width == w], float)).reshape(-1, w)) for w in {r.width for r in some}}
     dealt = stage(arrow_map(candidates, _deal(pivots), "vec_id long, embedding array<double>, width int, cell int, far double"), "cells")
     cells = {r.cell: r for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}  # a row for each cell
