@@ -12,11 +12,15 @@ that can reach it.
 A block is an M-tree: with one more coordinate that gives all its vectors the same
 norm, the largest inner product is the least Euclidean distance, which is a metric.
 Its paged nodes have a routing vector, a covering radius and the distance to the
-parent's routing vector.  A search opens nodes best first, by the least distance that
-any vector below can have, and skips, through the stored parent distances and the
-triangle inequality, whatever cannot be among the k best, mostly without computing its
-distance.  Bounds have a margin for rounding, and scores are exact integers, so results
-are exact.  Each block gives at most k rows for a query; the best of them are kept.
+parent's routing vector.  A search skips, through covering radii, stored parent
+distances and the triangle inequality, whatever cannot be among the k best, mostly
+without computing its distance.  All queries of a task go through the tree together:
+each first meets the leaf that it reaches by always taking the nearest child, which
+bounds it; then nodes are opened depth first, the nearest first, each by the queries that
+can still find something in it, whose scores with a leaf are one matrix product.  Where
+scores are too large to be exact as doubles, queries go one by one, best node first.
+Bounds have a margin for rounding, and scores are exact integers, so results are exact.
+Each block gives at most k rows for a query; the best of them are kept.
 
 Equal vectors are one entry with their k + 1 smallest ids (the query's own may be
 among them), which is all that can appear.
@@ -46,8 +50,10 @@ from ._common import arrow_map, column, stage, table
 
 BLOCK = 16_384
 PIVOTS = 64
-#: Queries that meet a block in one task.
-CHUNK = 4_096
+#: Queries that meet a block in one task; as many as rows, as each side is sent once for so many of the other.
+CHUNK = 16_384
+#: Pairs of queries and rows whose scores are held at once.
+PAIRS = 1 << 18
 #: Integers up to here are exact as doubles.
 EXACT = 2.0**53
 #: Components from here on have no squares as doubles.
@@ -74,6 +80,7 @@ class MTree:
         for kids in self.children:
             self.tables.append(None if kids is None else (np.array([self.routing[c] for c in kids]), np.array([self.radius[c] for c in kids]), np.array([self.parent[c] for c in kids])))
         self.leaf_x = [None if r is None else x[r] for r in self.rows]
+        self.squares = [float((r**2).sum()) for r in self.routing]
 
     def _build(self, rows: np.ndarray, above: np.ndarray | None) -> int:
         points = self.x[rows]
@@ -88,7 +95,8 @@ class MTree:
         self.rows.append(None)
         self.reach.append(None)
         if len(rows) <= self.page or self.radius[node] == 0:
-            self.rows[node], self.reach[node] = rows, reach
+            order = np.argsort(reach, kind="stable")
+            self.rows[node], self.reach[node] = rows[order], reach[order]
             return node
         # seeds far from each other; each row goes to the nearest
         seeds, least = [int(reach.argmax())], np.full(len(rows), np.inf)
@@ -127,6 +135,56 @@ class MTree:
                 if to - radius[k] <= most:
                     heapq.heappush(heap, (max(0.0, to - radius[k]), int(kids[k]), to))
 
+    def search_all(self, q: np.ndarray, consider, limit, margin: np.ndarray) -> None:
+        """``search`` for the rows of ``q`` at once.  ``limit(at)`` has a distance for
+        each of those queries; ``consider(at, rows, points)`` gets queries and the leaf
+        rows that some of them can need, each query and row at most once."""
+        if not self.routing or not len(q):
+            return
+        square = (q**2).sum(1)
+
+        def distances(at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+            routing = np.array([self.routing[c] for c in nodes])
+            return np.sqrt(np.maximum(square[at][:, None] + np.array([self.squares[c] for c in nodes]) - 2 * (q[at] @ routing.T), 0.0))
+
+        home = np.zeros(len(q), np.int64)  # the leaf that a query meets first
+        stack: list[tuple] = [(0, np.arange(len(q)))]
+        while stack:
+            node, at = stack.pop()
+            if (kids := self.children[node]) is None:
+                home[at] = node
+                consider(at, self.rows[node], self.leaf_x[node])
+                continue
+            nearest = distances(at, kids).argmin(1)
+            stack += [(int(kids[k]), at[nearest == k]) for k in np.unique(nearest)]
+        everyone = np.arange(len(q))
+        stack = [(0, everyone, distances(everyone, np.array([0]))[:, 0])]
+        while stack:
+            node, at, d = stack.pop()
+            most = limit(at) + margin[at]
+            open_ = (d - self.radius[node] <= most) & (home[at] != node)
+            if not open_.all():
+                at, d, most = at[open_], d[open_], most[open_]
+            if not len(at):
+                continue
+            kids = self.children[node]
+            if kids is None:
+                # rows by their distance to the routing vector: each query needs a range of them
+                low, high = np.searchsorted(self.reach[node], d - most), np.searchsorted(self.reach[node], d + most, "right")
+                some = low < high
+                if some.any():
+                    part = slice(low[some].min(), high[some].max())
+                    consider(at[some], self.rows[node][part], self.leaf_x[node][part])
+                continue
+            _, radius, parent = self.tables[node]
+            near = np.abs(parent - d[:, None]) - radius <= most[:, None]
+            tried = np.flatnonzero(near.any(0))
+            to = distances(at, kids[tried])
+            near = near[:, tried] & (to - radius[tried] <= most[:, None])
+            for k in np.argsort(-to.mean(0)):  # the last one is opened first
+                if near[:, k].any():
+                    stack.append((int(kids[tried[k]]), at[near[:, k]], to[near[:, k], k]))
+
 
 def _scores(points: np.ndarray, q: np.ndarray) -> list[int]:
     """Exact inner products: as doubles where all sums are, else in whole numbers."""
@@ -149,8 +207,53 @@ class Block:
         self.ids = [np.unique(part)[: k + 1] for part in np.split(ids, first[1:])] if len(ids) else []
         squares = (self.vectors**2).sum(1)
         self.top = float(squares.max()) if len(squares) else 0.0
+        self.most = float(np.abs(self.vectors).max(initial=0.0))
         self.tree = MTree(np.concatenate([self.vectors, np.sqrt(self.top - squares)[:, None]], axis=1))
 
+    def exact(self, q: np.ndarray) -> bool:
+        """Whether all sums that scores and distances to ``q`` need are exact as doubles."""
+        return 4 * max(self.most, float(np.abs(q).max(initial=0.0)), 1.0) ** 2 * q.shape[1] < EXACT
+
+    def best_all(self, own: np.ndarray, q: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` for the rows of ``q``, which must be ``exact``, without a bound
+        where ``least`` is -inf: query's index, score and id, by query and rank."""
+        k, square = self.k, (q**2).sum(1)
+        scores, ids = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
+        count = np.array([len(i) for i in self.ids], np.int64)
+        flat, begin = np.concatenate([*self.ids, np.zeros(0, np.int64)]), np.cumsum(count) - count
+
+        def low(at: np.ndarray) -> np.ndarray:
+            return np.maximum(scores[at, -1], least[at])  # without k rows the last is -inf
+
+        def limit(at: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(square[at] + self.top - 2 * low(at), 0.0))
+
+        def consider(at: np.ndarray, rows: np.ndarray, points: np.ndarray) -> None:
+            step = max(1, PAIRS // len(rows))
+            for first in range(0, len(at), step):
+                score_part(at[first : first + step], rows, points)
+
+        def score_part(at: np.ndarray, rows: np.ndarray, points: np.ndarray) -> None:
+            found = q[at] @ points[:, :-1].T
+            i, j = np.nonzero(found >= low(at)[:, None])
+            if not len(i):
+                return
+            n = count[rows[j]]  # ids of each vector found
+            entry = np.repeat(begin[rows[j]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            who, score, other = np.repeat(at[i], n), np.repeat(found[i, j], n), flat[entry]
+            keep = other != own[who]
+            asked = np.unique(who)
+            who = np.concatenate([np.repeat(asked, k), who[keep]])
+            score, other = np.concatenate([scores[asked].ravel(), score[keep]]), np.concatenate([ids[asked].ravel(), other[keep]])
+            order = np.lexsort((other, -score, who))
+            who = who[order]
+            first = np.searchsorted(who, asked)[:, None] + np.arange(k)  # each has k entries at least
+            scores[asked], ids[asked] = score[order][first], other[order][first]
+
+        self.tree.search_all(np.concatenate([q, np.zeros((len(q), 1))], axis=1), consider, limit, 1e-6 * (1 + np.sqrt(square + self.top)))
+        there = np.isfinite(scores)
+        return np.nonzero(there)[0], scores[there].astype(np.int64), ids[there]
+
     def best(self, own: int, q: np.ndarray, least: float | None = None) -> list[tuple[int, int]]:
         """The k best (score, id) of at least ``least``, ties to the smaller id,
         without ``own``."""
@@ -251,8 +354,12 @@ def _solve(k: int):
         rows: list[tuple] = []
         if candidates.num_rows and queries.num_rows:
             width = candidates.column("width")[0].as_py()
-            block = Block(candidates.column("vec_id").to_numpy(), _matrix(candidates.column("embedding"), width), k)
-            for own, key, least, q in zip(*(queries.column(c).to_pylist() for c in ("vec_id", "query_key", "least")), _matrix(queries.column("embedding"), width)):
+            block, asked = Block(candidates.column("vec_id").to_numpy(), _matrix(candidates.column("embedding"), width), k), _matrix(queries.column("embedding"), width)
+            if block.exact(asked):
+                own, key = (queries.column(c).to_numpy() for c in ("vec_id", "query_key"))
+                at, score, vec_id = block.best_all(own, asked, queries.column("least").fill_null(-np.inf).to_numpy())
+                return pa.table({"query_id": own[at], "query_key": key[at], "vec_id": vec_id, "score": score, "exact": pa.nulls(len(at), pa.string())})
+            for own, key, least, q in zip(*(queries.column(c).to_pylist() for c in ("vec_id", "query_key", "least")), asked):
                 rows += [(own, key, i, max(min(s, 2**63 - 1), -(2**63)), None if abs(s) < 2**63 else str(s)) for s, i in block.best(own, q, least)]
         cols = zip(*rows) if rows else [[]] * 5
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "query_key", "vec_id", "score", "exact"), cols, [pa.int64()] * 4 + [pa.string()])})

@@ -554,6 +554,32 @@ def test_tree_avoids_distances():
     assert sum(seen) < len(x) / 2
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0, 50.0])
+def test_queries_go_through_the_tree_together(monkeypatch, spread):
+    """Opened nodes do not grow with the queries; ties, copies, the query itself and given bounds."""
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 8)) * (50 - spread)
+    x = np.floor(np.repeat(centres, 50, axis=0) + r.normal(size=(2000, 8)) * spread)
+    x[::7] = x[3]  # a copy of one vector, and whole clusters of them without spread
+    ids, own = r.permutation(5000)[:2000], np.arange(0, 2000, 2)
+    alone, calls, pairs = [], [], []
+    one, every = mtree.MTree.search, getattr(mtree.MTree, "search_all", None)
+    monkeypatch.setattr(mtree.MTree, "search", lambda *a: alone.append(1) or one(*a))
+    monkeypatch.setattr(mtree.MTree, "search_all", lambda t, q, c, *rest: every(t, q, lambda at, rows, p: (calls.append(1), pairs.append(len(at) * len(rows)), c(at, rows, p)), *rest), raising=False)
+    scores = x @ x.T
+    for least in (None, np.sort(scores, axis=1)[:, -8]):
+        sides = [mtree.pa.table({"vec_id": ids[at], "query_key": at, "width": np.full(len(at), 8), "embedding": (x[at] / 256).tolist(), "least": mtree.pa.array([None] * len(at) if least is None else least[at], mtree.pa.float64())}) for at in (np.arange(2000), own)]
+        got = mtree._solve(5)(*sides).to_pylist()
+        want = []
+        for i in own.tolist():
+            best = sorted((-int(s), j) for s, j in zip(scores[i], ids.tolist()) if j != ids[i] and (least is None or s >= least[i]))[:5]
+            want += [(int(ids[i]), i, j, -s) for s, j in best]
+        assert sorted((g["query_id"], g["query_key"], g["vec_id"], g["score"]) for g in got) == sorted(want)
+    leaves = sum(kids is None for kids in mtree.Block(ids, x, 5).tree.children)
+    assert not alone and len(calls) <= 2 * 2 * leaves
+    assert sum(pairs) < 2 * len(own) * 2000 * (0.5 if spread == 1.0 else 1.0)
+
+
 # ------------------------------------------------------------------- quality
 
 
