@@ -406,7 +406,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     near = stage(_search(dealt, asked.select(*given, F.lit(None).cast("double").alias("least"), F.col("first").alias("cell")), subs, k, chunk), "near")
     # the k-th best score so far; without k, or beyond a long, there is no bound
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc(F.col("score")), "vec_id")
-    bound = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).filter("abs(score) < 4611686018427387904").select(F.col("query_id").alias("vec_id"), "query_key", F.col("score").cast("double").alias("least"))
+    # as a double that is not above it: from EXACT on a cast may round up
+    score = F.col("score").cast("double")
+    least = F.when(F.abs(score) < EXACT, score).otherwise(score - F.abs(score) * 2.0**-52)
+    bound = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).filter("abs(score) < 4611686018427387904").select(F.col("query_id").alias("vec_id"), "query_key", least.alias("least"))
     later = asked.join(bound, ["vec_id", "query_key"], "left").select(*given, "least", F.explode("others").alias("o")).filter("least IS NULL OR o.most >= least")
     far = _search(dealt, later.select(*given, "least", F.col("o.cell").alias("cell")), subs, k, chunk)
     found = near.unionByName(far)

@@ -529,6 +529,16 @@ def test_top_k_of_doubles(spark, scale):
     assert sorted(tuple(x) for x in got) == plain_top(base, lambda i: i % 10 == 0, 5)
 
 
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_bound_of_large_scores(spark, sign):
+    """Scores a few units apart near 2**55, where doubles are four or eight apart, over several cells."""
+    r = np.random.default_rng(2)
+    base = [(0, [sign * 2.0**20, 1 / 256, 0.0])] + [(i, [2.0**19, float(r.integers(2, 16)) / 256, float(r.integers(-(2**19), 2**19))]) for i in range(1, 200)]
+    df = spark.createDataFrame(base, "vec_id bigint, embedding array<double>")
+    got = mtree.top_k(df, df.filter("vec_id = 0"), 5, block=200).collect()
+    assert sorted(tuple(x) for x in got) == plain_top(base, lambda i: i == 0, 5)
+
+
 def test_cells_spare_searches(spark, monkeypatch):
     """Clustered vectors, of which one is very common: few cells are met, results are exact."""
     r = np.random.default_rng(5)
